@@ -1,0 +1,34 @@
+"""The queries of this subpackage: each applies one operator to its whole table."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import table
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import apply_url_filter, fit_url_model, labels_from_rules
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return apply_url_filter(pages, fit_url_model(labels_from_rules(pages))).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import apply_decontamination
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = apply_decontamination(docs, table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import apply_quality_rules
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return apply_quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op3_url_filter, op5_decontaminate, op8_quality_rules)}
+SQL: dict[str, str] = {}
