@@ -3,7 +3,9 @@
 A window of 13 words has nine 5-word grams; the smallest of their hashes is its fingerprint, so an equal window has an
 equal fingerprint: no shared span of 13 words is missed. Texts and benchmark items meet on distinct fingerprints.
 In the texts that met one, each window with such a fingerprint is compared word by word with the items' windows, and
-overlapping hits extend to maximal spans. Benchmark items of fewer words are one window; their fingerprint is the
+overlapping hits extend to maximal spans. Up to ``BROADCAST_ROWS`` distinct fingerprints (counted first) are broadcast, and
+a text's fingerprints then carry the words of their windows, so that no text is shuffled; more are joined by a shuffle of
+fingerprints, and only the texts that met one are read again. Benchmark items of fewer words are one window; their fingerprint is the
 smallest word hash, and texts are winnowed once more for each such length that occurs (12 at most).
 
 Nulls and texts without words have no windows: counts of 0, not contaminated. Repeated benchmark items all count; repeated
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, let
 
 WINDOW, GRAM = 13, 5
+BROADCAST_ROWS = 500_000
 OUTPUTS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "item_ids", "spans")
 
 
@@ -58,22 +61,42 @@ def windows_of(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
     return both.groupBy("size", "window", "fp").agg(F.sort_array(F.collect_set(F.col("item").cast("string"))).alias("items"))
 
 
-def find_hits(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def hits_by_broadcast(docs: DataFrame, mine: DataFrame, size: int, gram: int) -> DataFrame:
+    """Window starts that equal an item's window: (__id, i, items). The windows' fingerprints are broadcast."""
+    span = size - gram + 1
+
+    def runs(prints: Column, words: Column) -> Column:
+        first = F.filter(F.transform(prints, lambda f, i: F.when((i % span == 0) | (f != F.get(prints, i - 1)), i)), lambda i: i.isNotNull())
+        return F.transform(first, lambda i: F.struct(F.get(prints, i).alias("fp"), i.alias("i"), F.slice(words, i + 1, size + span - 1).alias("w")))
+
+    rows = docs.select("__id", item_words(F.col("__t")).alias("w"))
+    rows = rows.select("__id", F.explode(let(F.col("w"), lambda w: let(fingerprints(w, size, gram), lambda f: runs(f, w)))).alias("x"))
+    met = rows.select("__id", "x.fp", "x.i", "x.w").join(F.broadcast(mine.select("fp").distinct()), "fp", "left_semi")
+    cut = met.select("__id", "i", "w", F.explode(F.sequence(F.lit(0), F.size("w") - size)).alias("j"))
+    cut = cut.select("__id", (F.col("i") + F.col("j")).alias("i"), window_text(F.col("w"), F.col("j"), size).alias("window"))
+    return cut.join(mine.select("window", "items"), "window").select("__id", "i", "items").distinct()
+
+
+def hits_by_shuffle(docs: DataFrame, mine: DataFrame, size: int, gram: int) -> DataFrame:
+    """As ``hits_by_broadcast``, for fingerprints of any number."""
+    keys = mine.select("fp").distinct()
+    prints = docs.select("__id", F.explode(F.array_distinct(fingerprints(item_words(F.col("__t")), size, gram))).alias("fp"))
+    met = prints.join(keys, "fp").groupBy("__id").agg(F.collect_set("fp").alias("fps"))
+    near = docs.join(met, "__id").select("__id", "fps", item_words(F.col("__t")).alias("w"))
+    near = near.withColumn("at", F.filter(F.transform(fingerprints(F.col("w"), size, gram), lambda f, i: F.when(F.array_contains("fps", f), i)), lambda i: i.isNotNull()))
+    cut = near.select("__id", F.explode(F.transform("at", lambda i: F.struct(i.alias("i"), window_text(F.col("w"), i, size).alias("window")))).alias("x"))
+    return cut.select("__id", "x.i", "x.window").join(mine.select("window", "items"), "window").select("__id", "i", "items")
+
+
+def find_hits(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """For each text with a hit: its id, the maximal hit spans [(start, length)] in words, n_hit and the item ids."""
     windows = windows_of(benchmark, item_id, item_text)
-    sizes = sorted(r[0] for r in windows.select("size").distinct().limit(WINDOW).collect())
+    sizes = sorted((r[0], r[1]) for r in windows.groupBy("size").agg(F.countDistinct("fp")).limit(WINDOW).collect())
     docs = df.select(F.col(doc_id).alias("__id"), F.col(text).alias("__t")).where("__id is not null")
     found = None
-    for size in sizes:
-        gram = GRAM if size == WINDOW else 1
-        mine = windows.where(F.col("size") == size)
-        keys = mine.select("fp").distinct()
-        prints = docs.select("__id", F.explode(F.array_distinct(fingerprints(item_words(F.col("__t")), size, gram))).alias("fp"))
-        met = prints.join(keys, "fp").groupBy("__id").agg(F.collect_set("fp").alias("fps"))
-        near = docs.join(met, "__id").select("__id", "fps", item_words(F.col("__t")).alias("w"))
-        near = near.withColumn("at", F.filter(F.transform(fingerprints(F.col("w"), size, gram), lambda f, i: F.when(F.array_contains("fps", f), i)), lambda i: i.isNotNull()))
-        cut = near.select("__id", F.explode(F.transform("at", lambda i: F.struct(i.alias("i"), window_text(F.col("w"), i, size).alias("window")))).alias("x"))
-        hit = cut.select("__id", "x.i", "x.window").join(mine.select("window", "items"), "window").select("__id", "i", F.lit(size).alias("n"), "items")
+    for size, n in sizes:
+        way = hits_by_broadcast if n <= broadcast_rows else hits_by_shuffle
+        hit = way(docs, windows.where(F.col("size") == size), size, GRAM if size == WINDOW else 1).withColumn("n", F.lit(size))
         found = hit if found is None else found.unionByName(hit)
     if found is None:
         found = docs.select("__id", F.lit(0).alias("i"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("items")).where("false")
@@ -87,10 +110,10 @@ def find_hits(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
     return out.withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["length"]))
 
 
-def apply_decontamination(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", one_in: int = 20) -> DataFrame:
+def apply_decontamination(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", one_in: int = 20, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Add n_words, n_hit, n_items, item_ids, spans and contaminated (hit words are 1 in ``one_in`` at least) to every row."""
     df = df.drop(*OUTPUTS)
-    hits = find_hits(df, benchmark, doc_id, text, item_id, item_text)
+    hits = find_hits(df, benchmark, doc_id, text, item_id, item_text, broadcast_rows)
     df = df.withColumn("n_words", F.size(item_words(F.col(text))).cast("long"))
     out = df.join(hits.withColumnRenamed("__id", doc_id), doc_id, "left")
     out = out.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "item_ids": F.coalesce("item_ids", F.array().cast("array<string>")), "spans": F.coalesce("spans", F.array().cast("array<struct<start:int,length:int>>"))})
