@@ -15,6 +15,17 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_url_filter(pages, fit_url_model(labels_from_rules(pages))).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import encode_bpe
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = encode_bpe(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    n = (F.octet_length("ids") / 4).cast("long")
+    return out.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import apply_decontamination
 
@@ -23,6 +34,12 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract_html
+
+    return extract_html(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import apply_quality_rules
 
@@ -30,5 +47,25 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op3_url_filter, op5_decontaminate, op8_quality_rules)}
+def op9_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits the pages against a replica in which two in a hundred records have another first byte."""
+    from .warc import audit, warc_records
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    lost = F.crc32(F.col("page_id").cast("string")) % 50 == 7
+    damaged = pages.withColumn("html", F.when(lost, F.concat(F.lit("~"), F.expr("substring(html, 2)"))).otherwise(F.col("html")))
+    here, there = warc_records(pages), warc_records(damaged)
+    bad = audit(here, there).withColumn("damaged", F.lit(True))
+    out = here.join(bad, ["file", "seq"], "left").withColumn("intact", F.col("damaged").isNull())
+    return out.select("page_id", "file", "seq", "offset", "length", "sha256", "intact")
+
+
+def op10_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .cdc import dedup_chunks
+
+    out = dedup_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "n_dup_chunks", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op3_url_filter, op4_bpe, op5_decontaminate, op7_html_extract, op8_quality_rules, op9_warc_fixity, op10_chunk_dedup)}
 SQL: dict[str, str] = {}
