@@ -101,7 +101,4 @@ def find_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", leas
 def dedup_chunks(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, most: int = MOST) -> DataFrame:
     """Add n_bytes, n_removed, n_spans, n_dup_chunks and ``kept`` (the bytes left) to every row of ``df``."""
     found = find_repeats(df, doc_id, text, least, most)
-    df = df.drop("n_dup_chunks")
-    n = found.select(F.col("__id").alias("__key"), F.size("__starts").cast("long").alias("n_dup_chunks"))
-    out = cut_spans(df, found, doc_id, text)
-    return out.join(n, out[doc_id] == n["__key"], "left").drop("__key").withColumn("n_dup_chunks", F.coalesce("n_dup_chunks", F.lit(0).cast("long")))
+    return cut_spans(df.drop("n_dup_chunks"), found, doc_id, text).withColumnRenamed("n_found", "n_dup_chunks")
