@@ -15,6 +15,12 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import join_ngrams
+
+    return join_ngrams(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filter import apply_url_filter, fit_url_model, labels_from_rules
 
@@ -74,5 +80,5 @@ def op10_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "n_dup_chunks", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op3_url_filter, op4_bpe, op5_decontaminate, op7_html_extract, op8_quality_rules, op9_warc_fixity, op10_chunk_dedup)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_ngram_join, op3_url_filter, op4_bpe, op5_decontaminate, op7_html_extract, op8_quality_rules, op9_warc_fixity, op10_chunk_dedup)}
 SQL: dict[str, str] = {}
