@@ -47,6 +47,15 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .lm_score import score_texts
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_texts(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
 def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_extract import extract_html
 
@@ -80,5 +89,5 @@ def op10_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "n_dup_chunks", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_ngram_join, op3_url_filter, op4_bpe, op5_decontaminate, op7_html_extract, op8_quality_rules, op9_warc_fixity, op10_chunk_dedup)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_ngram_join, op3_url_filter, op4_bpe, op5_decontaminate, op6_lm_score, op7_html_extract, op8_quality_rules, op9_warc_fixity, op10_chunk_dedup)}
 SQL: dict[str, str] = {}
