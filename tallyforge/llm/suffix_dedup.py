@@ -2,7 +2,8 @@
 
 1. Each text is cut into runs of consecutive windows (``WIDTH`` bytes) that have the same least ``GRAM``-byte hash at
    the same place, so equal windows lie in runs with the same hash. A run is described by that hash, a hash of its
-   bytes, and its place; runs meet by the first. Of runs with equal bytes all but the first are removed whole.
+   bytes, and its place. Of runs with equal bytes in one text all but the first are removed at once, before anything is
+   shuffled; the rest meet by the first hash, and again all but the first of equal bytes are removed whole.
    Runs whose hash no other bytes share need nothing more.
 2. The bytes of the remaining runs (boundaries of repeats) go to their hash's task. There the runs of one batch are split
    into shards; each shard's Burrows-Wheeler transform over 8-byte symbols is built, and the shards are merged by
@@ -33,7 +34,7 @@ from .common import shared_dir, stored
 from .spans import cut_spans
 
 WIDTH, GRAM, SYMBOL = 100, 32, 8
-HOT_ROWS, SALTS, SAMPLE = 5000, 8, 0.02
+HOT_ROWS, SALTS, SAMPLE = 40_000, 8, 0.02
 PIECE = 1 << 19
 BATCH_SYMBOLS, SHARD_SYMBOLS = 120_000, 30_000
 
@@ -102,8 +103,22 @@ def runs_of(data: bytes) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return out
 
 
+def borders(*columns: np.ndarray) -> np.ndarray:
+    """Where a row of the sorted columns differs from the one before it."""
+    new = np.zeros(len(columns[0]), bool)
+    if len(new):
+        new[0] = True
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+    return new
+
+
 def window_runs(docs: DataFrame) -> DataFrame:
-    """Rows (m, c, id, s, n) for all runs of ``docs`` (__id, __t)."""
+    """Rows (m, c, id, s, n, own) for all runs of ``docs`` (__id, __t).
+
+    Runs that repeat one of their own text are not among them; ``own`` rows give their bytes instead, as maximal ranges
+    from s of n bytes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute  # noqa: F401
@@ -111,25 +126,29 @@ def window_runs(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part in by_bytes(batch, "__t"):
                 got: list[list[np.ndarray]] = [[], [], [], [], []]
-                for i, x in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                texts = part.column(1).cast(pa.binary()).to_pylist()
+                for k, x in enumerate(texts):
                     for m, c, s, n in runs_of(x):
-                        for k, v in enumerate((m, c, np.full(len(m), i, np.int64), s, n)):
-                            got[k].append(v)
-                if got[0]:
-                    m, c, i, s, n = (np.concatenate(v) for v in got)
-                    yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(c), pa.array(i), pa.array(s), pa.array(n.astype(np.int16))], names=["m", "c", "id", "s", "n"])
-
-    return docs.mapInArrow(run, "m long, c long, id long, s long, n short")
-
-
-def borders(*columns: np.ndarray) -> np.ndarray:
-    """Where a row of the sorted columns differs from the one before it."""
-    new = np.zeros(len(columns[0]), bool)
-    if len(new):
-        new[0] = True
-        for c in columns:
-            new[1:] |= c[1:] != c[:-1]
-    return new
+                        for j, v in enumerate((m, c, np.full(len(m), k), s, n)):
+                            got[j].append(v)
+                if not got[0]:
+                    continue
+                m, c, row, s, n = (np.concatenate(v) for v in got)
+                ids = np.array(part.column(0).to_pylist(), np.int64)
+                order = np.lexsort((s, c, m, row))
+                again = np.zeros(len(m), bool)
+                again[order] = ~borders(row[order], m[order], c[order])
+                a, b = s[again], s[again] + n[again] + WIDTH - 1
+                first = np.ones(len(a), bool)
+                first[1:] = (a[1:] > b[:-1]) | (row[again][1:] != row[again][:-1])
+                at = np.flatnonzero(first)
+                size = b[np.append(at[1:], len(a)) - 1] - a[at] if len(a) else a
+                none, keep = np.zeros(len(at), np.int64), ~again
+                cols = [(m[keep], none), (c[keep], none), (ids[row[keep]], ids[row[again][at]]), (s[keep], a[at]), (n[keep], size)]
+                own = np.concatenate((np.zeros(int(keep.sum()), bool), np.ones(len(at), bool)))
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x).astype(t)) for x, t in zip(cols, ("i8", "i8", "i8", "i8", "i4"), strict=True)), pa.array(own)], names=["m", "c", "id", "s", "n", "own"])
+
+    return docs.mapInArrow(run, "m long, c long, id long, s long, n int, own boolean")
 
 
 SPAN, COLD, HOT = 0, 1, 2
@@ -141,19 +160,30 @@ def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if rows is None or not rows.num_rows:
         return
     m, c, i, s, n = (rows.column(k).to_numpy() for k in ("m", "c", "id", "s", "n"))
-    hot = rows.column("hot").to_numpy(zero_copy_only=False).astype(bool)
+    hot, own = (rows.column(k).to_numpy(zero_copy_only=False).astype(bool) for k in ("hot", "own"))
+    done = np.flatnonzero(own)
     order = np.lexsort((s, i, c, m))
+    order = order[~own[order]]
+    yield from asks(np.full(len(done), SPAN), m[done], i[done], s[done], n[done])
     m, c, i, s, n, hot = m[order], c[order], i[order], s[order], n[order], hot[order]
+    if not len(m):
+        return
     group, same = borders(m), borders(m, c)
     first = np.flatnonzero(same)[np.cumsum(same) - 1]
     again = ~same & ((i != i[first]) | (s != s[first]))
     kinds = np.add.reduceat(same.astype(np.int64), np.flatnonzero(group))[np.cumsum(group) - 1]
     ask = same & (hot | (kinds > 1))
-    kind = np.where(again, SPAN, np.where(hot, HOT, COLD)).astype(np.int8)
-    pick = np.flatnonzero(again | ask)
-    for at in range(0, len(pick), 100_000):
-        k = pick[at : at + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(kind[k]), pa.array(m[k]), pa.array(i[k]), pa.array(s[k]), pa.array(n[k])], names=["kind", "m", "id", "s", "n"])
+    kind = np.where(again, SPAN, np.where(hot, HOT, COLD))
+    n = np.where(again, n + WIDTH - 1, n)
+    pick = again | ask
+    yield from asks(kind[pick], m[pick], i[pick], s[pick], n[pick])
+
+
+def asks(kind: np.ndarray, m: np.ndarray, i: np.ndarray, s: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """In batches: ranges to remove (n bytes from s), and runs to compare (n windows from s)."""
+    for at in range(0, len(m), 100_000):
+        k = slice(at, at + 100_000)
+        yield pa.RecordBatch.from_arrays([pa.array(kind[k].astype(np.int8)), pa.array(m[k]), pa.array(i[k]), pa.array(s[k]), pa.array(n[k].astype(np.int32))], names=["kind", "m", "id", "s", "n"])
 
 
 def run_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,10 +230,10 @@ class Symbols:
 
     def __init__(self, strings: list[bytes]):
         size = np.array([len(x) for x in strings], np.int64)
-        self.string = np.repeat(np.arange(len(strings)), size)
-        begin = np.concatenate(([0], np.cumsum(size)[:-1]))
-        self.offset = np.arange(int(size.sum())) - begin[self.string]
-        self.left = size[self.string] - self.offset
+        self.string = np.repeat(np.arange(len(strings), dtype=np.int32), size)
+        begin = np.concatenate(([0], np.cumsum(size)[:-1])).astype(np.int32)
+        self.offset = np.arange(len(self.string), dtype=np.int32) - begin[self.string]
+        self.left = size.astype(np.int32)[self.string] - self.offset
         data = np.concatenate((np.frombuffer(b"".join(strings), np.uint8), np.zeros(SYMBOL, np.uint8))).astype(np.uint64)
         n = len(self.string)
         two = data[:-1] << U(8) | data[1:]
@@ -273,7 +303,7 @@ def repeated(ids: np.ndarray, starts: np.ndarray, strings: list[bytes]) -> Itera
     place, block = merge_transforms(text, shards)
     if not len(place):
         return
-    when = rank[text.string[place]] * (1 << 20) + text.offset[place]
+    when = rank[text.string[place]].astype(np.int64) * (1 << 20) + text.offset[place]
     new = np.flatnonzero(borders(block))
     least = np.minimum.reduceat(when, new)[np.cumsum(borders(block)) - 1]
     hit = np.sort(place[when != least])
@@ -322,14 +352,14 @@ def find_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", hot_ro
     shared_dir(df.sparkSession)
     all_docs = df.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).alias("__t"))
     docs = all_docs.where(F.octet_length("__t") >= WIDTH).where("__id is not null")
-    few = window_runs(docs.sample(sample, 5) if sample < 1 else docs).groupBy("m").agg(F.count("*").alias("k"))
+    few = window_runs(docs.sample(sample, 5) if sample < 1 else docs).where("not own").groupBy("m").agg(F.count("*").alias("k"))
     hot = stored(few.where(F.col("k") >= max(2, int(hot_rows * sample))).select("m", F.lit(True).alias("is_hot")), "hot")
     runs = window_runs(docs).join(hot, "m", "left").withColumn("hot", F.coalesce("is_hot", F.lit(False)))
-    key = F.when(F.col("hot"), F.xxhash64("m", "c", F.pmod(F.xxhash64("id"), F.lit(SALTS)))).otherwise(F.col("m"))
-    dealt = runs.select("m", "c", "id", "s", "n", "hot", key.alias("key")).repartition("key").drop("key")
-    settled = stored(dealt.mapInArrow(settle, "kind byte, m long, id long, s long, n short"), "settled")
+    key = F.when(F.col("own"), F.xxhash64("id", "s")).when(F.col("hot"), F.xxhash64("m", "c", F.pmod(F.xxhash64("id"), F.lit(SALTS)))).otherwise(F.col("m"))
+    dealt = runs.select("m", "c", "id", "s", "n", "hot", "own", key.alias("key")).repartition("key").drop("key")
+    settled = stored(dealt.mapInArrow(settle, "kind byte, m long, id long, s long, n int"), "settled")
 
-    whole = settled.where(F.col("kind") == SPAN).select("id", F.col("s").alias("a"), (F.col("s") + F.col("n") + (WIDTH - 1)).alias("b"))
+    whole = settled.where(F.col("kind") == SPAN).select("id", F.col("s").alias("a"), (F.col("s") + F.col("n")).alias("b"))
 
     def asked(kind: int) -> DataFrame:
         ask = settled.where(F.col("kind") == kind).groupBy("id").agg(F.collect_list(F.struct("m", "s", "n")).alias("asked"))
