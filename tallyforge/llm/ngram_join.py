@@ -209,8 +209,10 @@ def join_ngrams(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: in
     bands, rows = choose_bands(threshold, recall)
     docs = df.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).alias("__t")).where("__id is not null")
     signed = stored(signatures(docs.where("__t is not null"), n, bands, rows), "signatures")
-    classes = signed.groupBy("k1", "k2", "size").agg(F.min("id").alias("class_id"), F.count("*").alias("copies"))
-    member = signed.join(classes, ["k1", "k2", "size"]).select("id", "class_id", "copies", "bands")
+    classes = signed.groupBy("k1", "k2", "size").agg(F.min("id").alias("class_id"), F.count("*").alias("copies")).where("copies > 1")
+    classes = stored(classes, "classes")  # so that the join below deals both sides itself and can split a large class
+    member = signed.join(classes, ["k1", "k2", "size"], "left")
+    member = member.select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("copies", F.lit(1).cast("long")).alias("copies"), "bands")
     heads = stored(member.where("id = class_id").select("id", "copies", "bands"), "heads")
     spread = heads.select("id", F.posexplode("bands").alias("band", "hash")).select("id", "band", F.xxhash64("band", "hash").alias("key"))
     shared = spread.groupBy("key").agg(F.count("*").alias("g")).where("g > 1")
