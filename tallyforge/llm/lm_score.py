@@ -4,7 +4,7 @@ P(word | context) = P(class | context) * P(word | class). The class of a word fo
 vocabulary entry that starts the word; frequent ids have a class of their own, the rest share hashed ones. The attention
 model gives the first factor, the counts of all training texts the second, with one unknown word a class.
 
-1. A bounded sample of training texts (``sample_docs``) fits the classes and the model's start, on the driver.
+1. A bounded sample of training texts (about ``sample_docs``, chosen by id hash) fits the classes and the model's start, on the driver.
 2. Texts are dealt into blocks of about ``BLOCK_BYTES``. Each block counts its distinct words and goes on training on
    one in ``EVERY`` chunks of its training texts, so counts and training follow the input.
 3. Counts meet by ranges of 64-bit word hashes (0.0003 expected collisions among 10^8 distinct words); every block gets back the counts and classes of its own words, 5 bytes a
@@ -256,10 +256,13 @@ def score_texts(df: DataFrame, vocabulary_path: str, doc_id: str = "doc_id", tex
     spark = df.sparkSession
     shared_dir(spark)
     docs = df.select(F.col(doc_id).alias("id"), F.col(text).alias("__t"), is_held_out(F.col(doc_id)).alias("held"))
-    size = docs.agg(F.sum(F.octet_length("__t"))).first()[0] or 0
+    fit = ~F.col("held") & F.octet_length("__t").between(1, SAMPLE_BYTES)
+    size, rows = docs.agg(F.sum(F.octet_length("__t")), F.count(F.when(fit, 1))).first()
+    size = size or 0
     blocks = max(-(-size // block_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sample = docs.where("not held").where(F.octet_length("__t").between(1, SAMPLE_BYTES)).orderBy(F.xxhash64("id"), "id").limit(sample_docs)
-    own, start = fit_start([r[0].encode() for r in sample.select("__t").collect()], vocabulary_path, steps)
+    one_in = max(-(-rows // sample_docs), 1)
+    sample = docs.where(fit & (F.pmod(F.xxhash64("id"), F.lit(one_in)) == 0)).limit(2 * sample_docs).select("id", "__t").collect()
+    own, start = fit_start([r["__t"].encode() for r in sorted(sample, key=lambda r: (str(r["id"]), r["__t"]))], vocabulary_path, steps)
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("id", F.octet_length("__t")), F.lit(blocks)).cast("int")).repartition("block")
     sent = dealt.mapInArrow(count_words(vocabulary_path, own, start, blocks), "bucket int, block int, data binary")
     back = stored(sent.repartition("bucket").mapInArrow(add_counts, "block int, bucket int, n long, data binary"), "counts")
