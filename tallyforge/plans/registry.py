@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyforge.operators import drift, split
+from tallyforge.plans import queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+QUERIES = dict(queries.QUERIES)
+SQL = dict(queries.SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Parquet scan, month periods, holdout cut, then the drift of four measures between train and holdout."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    plan = split.fit_split(rows, "l_shipdate")
+    period = split.period_of(F.col("l_shipdate")).cast("string")
+    train, hold = rows.where(~period.isin(*plan.oot_periods)), rows.where(period.isin(*plan.oot_periods))
+    return drift.drift_report(train.select(*queries.MEASURES), hold.select(*queries.MEASURES), top=10)
