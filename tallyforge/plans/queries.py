@@ -463,7 +463,8 @@ def woe_sql(column: str, table: str, edges: str | None = None) -> str:
     ps = ", ".join(repr(k / 10) for k in range(11))
     e = edges or f"list_sort(list_distinct(quantile_cont({column}, [{ps}])))"
     inner = "e" if edges else "e[2:len(e) - 1]"
-    return f"""(WITH q AS (SELECT {inner} AS e FROM (SELECT {e} AS e FROM {table})), r AS (SELECT unnest(range(0, len(e) + 2)) AS bin FROM q),
+    source = "" if edges else f" FROM {table}"
+    return f"""(WITH q AS (SELECT {inner} AS e FROM (SELECT {e} AS e{source})), r AS (SELECT unnest(range(0, len(e) + 2)) AS bin FROM q),
 b AS (SELECT CASE WHEN {column} IS NULL THEN len(e) + 1 ELSE len(list_filter(e, lambda k: k <= {column})) END AS bin, y FROM {table}, q),
 g AS (SELECT r.bin, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y = 0) AS neg FROM r LEFT JOIN b USING (bin) GROUP BY r.bin),
 w AS (SELECT bin, pos, neg, (pos + 0.5) / (sum(pos) OVER () + 0.5 * count(*) OVER ()) AS p, (neg + 0.5) / (sum(neg) OVER () + 0.5 * count(*) OVER ()) AS n FROM g)
@@ -566,7 +567,7 @@ GINI = "(SELECT {g} AS g, x, sum(y) AS pos, sum(1 - y) AS neg FROM {t} GROUP BY
 
 
 def auc_sql(source: str, group: str) -> str:
-    return f"(SELECT g, sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)) AS auc FROM (SELECT *, coalesce(sum(neg) OVER (PARTITION BY g ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM {GINI.format(g=group, t=source)}) GROUP BY g)"
+    return f"(SELECT g, sum(pos * (below + neg / 2)) / nullif(sum(pos) * sum(neg), 0) AS auc FROM (SELECT *, coalesce(sum(neg) OVER (PARTITION BY g ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM {GINI.format(g=group, t=source)}) GROUP BY g)"
 
 
 MONTHLY = "(SELECT date_trunc('month', o_orderdate)::DATE AS m, o_totalprice AS x, (o_orderstatus = 'F')::INTEGER AS y FROM orders)"
