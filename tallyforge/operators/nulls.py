@@ -170,10 +170,14 @@ def scale_guard(train: DataFrame, other: DataFrame, columns: Sequence[str], fail
 
 
 def indicator_columns(df: DataFrame, rules: dict[str, Rule], most: int = MAX_INDICATORS, label: str | None = None) -> list[str]:
-    """Columns that get an indicator: not constant, one of those with equal null patterns, strongest |z| with the label."""
-    ask = [c for c, r in rules.items() if r.indicator and c in df.columns]
+    """Columns that get an indicator: not constant, one of those with equal null patterns, strongest |z| with the label.
+
+    Where the indicator is the whole strategy it always stays.
+    """
+    always = [c for c, r in rules.items() if r.strategy == "missing_indicator_only" and c in df.columns]
+    ask = [c for c, r in rules.items() if r.indicator and c in df.columns and c not in always]
     if not ask:
-        return []
+        return always
     y = quoted(label).cast("double") if label else F.lit(0.0)
     row = F.xxhash64(*[quoted(c) for c in df.columns])
     null = {c: clean_value(df, c, rules[c]).isNull() for c in ask}
@@ -183,11 +187,12 @@ def indicator_columns(df: DataFrame, rules: dict[str, Rule], most: int = MAX_IND
         n, pattern = got[f"n:{c}"], (got[f"n:{c}"], got[f"x:{c}"], got[f"s:{c}"])
         if 0 < n < got["n"] and pattern not in seen:
             seen.add(pattern)
-            p, base = got[f"y:{c}"] or 0.0, got["y"] or 0.0
-            se = math.sqrt(base * (1 - base) / n) if 0 < base < 1 else 0.0
-            out.append((abs(p - base) / se if se else 0.0, c))
+            p, base, rest = got[f"y:{c}"] or 0.0, got["y"] or 0.0, got["n"] - n
+            other = (base * got["n"] - p * n) / rest
+            se = math.sqrt(max(base * (1 - base), 1e-12) * (1 / n + 1 / rest))
+            out.append((abs(p - other) / se, c))
     keep = {c for _, c in sorted(out, key=lambda x: (-x[0], x[1]))[:most]}
-    return [c for c in ask if c in keep]
+    return [c for c in rules if c in keep or c in always]
 
 
 @dataclass(frozen=True)

@@ -94,6 +94,9 @@ def run(parts: dict[str, DataFrame] | DataFrame, target: str, entity: str | None
     other = next((ready[n] for n in ("oot", "test", "valid", "valid_temporal") if n in ready), ready["train"])
     judged = drift.psi_filter(ready["train"], other, numeric, most=max_psi).collect()
     chosen = [x.feature for x in judged if x.decision != "DROP"]
+    if not chosen:
+        ledger.add("drift", "warning", f"every feature has a PSI over {max_psi}: none is dropped")
+        chosen = numeric
     kept, _ = select.prune_collinear(ready["train"], {c: -k for k, c in enumerate(chosen)}, select.NEAR_COPY) if len(chosen) > 1 else (chosen, [])
     learn = ready["train"]
     for name in ("valid", "valid_temporal", "valid_random"):

@@ -72,6 +72,8 @@ def encoding_of(path: str, codec: str | None = None, size: int = 1 << 20) -> str
 
 def read_csv(spark: SparkSession, path: str, sep: str = ",", codec: str | None = None) -> DataFrame:
     name = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp1252": "windows-1252", "latin-1": "ISO-8859-1"}[encoding_of(path, codec)]
+    if name == "windows-1252":
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # Spark's own list lacks it
     return spark.read.csv(path, header=True, inferSchema=True, sep=sep, encoding=name, quote='"', escape='"', multiLine=codec is None)
 
 
