@@ -368,9 +368,21 @@ def interaction(df: DataFrame, compiled: Compiled, fill: float | None = None) ->
     return v if fill is None else F.coalesce(v, F.lit(fill))
 
 
+def fit_interactions(df: DataFrame, texts: dict[str, str]) -> dict[str, tuple[Compiled, float | None, bool]]:
+    """(compiled, training median, constant?) by name, in two jobs for all: a constant feature should be rejected."""
+    need = {n: Compiler(df, None) for n in texts}
+    for n, text in texts.items():
+        need[n].compile(validate(text).body)
+    wanted = [(n, k, e) for n, c in need.items() for k, e in c.wanted.items()]
+    got = df.agg(*[e.alias(f"x{j}") for j, (_, _, e) in enumerate(wanted)]).first() if wanted else ()
+    stats: dict[str, dict[str, float]] = {n: {} for n in texts}
+    for (n, k, _), v in zip(wanted, got, strict=True):
+        stats[n][k] = None if v is None else float(v)
+    done = {n: Compiled(text, stats[n]) for n, text in texts.items()}
+    values = [interaction(df, c) for c in done.values()]
+    facts = df.agg(*[x.alias(f"x{j}_{m}") for j, v in enumerate(values) for m, x in enumerate((F.percentile(v, F.lit(0.5)), F.min(v), F.max(v)))]).first()
+    return {n: (c, facts[3 * j], facts[3 * j + 1] is None or facts[3 * j + 1] == facts[3 * j + 2]) for j, (n, c) in enumerate(done.items())}
+
+
 def fit_interaction(df: DataFrame, text: str) -> tuple[Compiled, float | None, bool]:
-    """(compiled, training median, constant?): a constant feature should be rejected."""
-    compiled = fit_expression(df, text)
-    v = interaction(df, compiled)
-    fill, low, high = df.agg(F.percentile(v, F.lit(0.5)), F.min(v), F.max(v)).first()
-    return compiled, fill, low is None or low == high
+    return fit_interactions(df, {"x": text})["x"]

@@ -68,6 +68,12 @@ def iv_edges(df: DataFrame, columns: Sequence[str], bins: int = 10, method: str
     return out
 
 
+def every_bin(df: DataFrame, sizes: dict[str, int]) -> DataFrame:
+    """(feature, bin) for 0 to size-1 of each feature, from literals."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(n).alias("n")) for c, n in sizes.items()])
+    return df.sparkSession.range(1).select(F.explode(pairs).alias("x")).select("x.feature", F.explode(F.sequence(F.lit(0), F.col("x.n") - 1)).alias("bin"))
+
+
 def bin_counts(df: DataFrame, edges: dict[str, Sequence[float]], label: str) -> DataFrame:
     """(feature, bin, pos, neg) for every bin of every column, the last one for nulls; bins without rows count zero."""
     columns = list(edges)
@@ -75,7 +81,7 @@ def bin_counts(df: DataFrame, edges: dict[str, Sequence[float]], label: str) ->
     binned = F.array(*[F.struct(F.lit(c).alias("feature"), left_closed(quoted(c).cast("double"), edges[c], len(edges[c]) + 1).alias("bin")) for c in columns])
     rows = df.where(y.isNotNull()).select(F.explode(binned).alias("x"), y.alias("y")).select("x.*", "y")
     seen = rows.groupBy("feature", "bin").agg(F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col("y") == 0, 1).otherwise(0)).alias("neg"))
-    every = df.sparkSession.createDataFrame([(c, b) for c in columns for b in range(len(edges[c]) + 2)], "feature string, bin int")
+    every = every_bin(df, {c: len(edges[c]) + 2 for c in columns})
     zero = F.lit(0).cast("long")
     return every.join(seen, ["feature", "bin"], "left").select("feature", "bin", F.coalesce("pos", zero).alias("pos"), F.coalesce("neg", zero).alias("neg"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyforge import roles
 from tallyforge.functions.scalars import numeric_columns
-from tallyforge.operators.binning import quantile_edges, right_closed
+from tallyforge.operators.binning import every_bin, quantile_edges, right_closed
 from tallyforge.operators.profile import quoted, wide
 
 EPS = 1e-8
@@ -29,13 +29,14 @@ def psi(train: DataFrame, other: DataFrame, columns: Sequence[str], bins: int =
     binned = F.array(*[F.struct(F.lit(c).alias("feature"), right_closed(quoted(c).cast("double"), edges[c][1:-1]).alias("bin")) for c in use])
     both = train.select(F.explode(binned).alias("x"), F.lit(1).alias("e")).unionAll(other.select(F.explode(binned).alias("x"), F.lit(0).alias("e")))
     n = both.select("x.*", "e").where("bin is not null").groupBy("feature", "bin").agg(F.sum("e").alias("e"), F.sum(1 - F.col("e")).alias("a"))
-    every = spark.createDataFrame([(c, b) for c in use for b in range(len(edges[c]) - 1)], "feature string, bin int")
+    every = every_bin(train, {c: len(edges[c]) - 1 for c in use})
     full = every.join(n, ["feature", "bin"], "left").fillna(0, ["e", "a"])
     total = full.groupBy("feature").agg(F.sum("e").alias("n_train"), F.sum("a").alias("n_other"))
     full = full.join(F.broadcast(total), "feature")  # a row a column
     share = lambda x, t: F.coalesce(F.try_divide(F.col(x), F.col(t)), F.lit(0.0)) + EPS
     part = (share("a", "n_other") - share("e", "n_train")) * F.log(share("a", "n_other") / share("e", "n_train"))
-    return full.groupBy("feature").agg(F.sum(part).alias("psi")).unionByName(rest)
+    out = full.groupBy("feature").agg(F.sum(part).alias("psi"))
+    return out.unionByName(rest) if len(use) < len(columns) else out
 
 
 def drift_report(train: DataFrame, other: DataFrame, skip: Sequence[str] = (), bins: int = 10, warn: float = 0.25, least_rows: int = 100, top: int | None = None) -> DataFrame:

@@ -413,10 +413,8 @@ EXPRESSIONS = {
 @query("WITH e AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, " + ", ".join(f"({s})::DOUBLE AS {n}" for n, (_, s) in EXPRESSIONS.items()) + " FROM lineitem), m AS (SELECT " + ", ".join(f"quantile_cont({n}, 0.5) AS m_{n}" for n in EXPRESSIONS) + " FROM e) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, " + ", ".join(f"round(coalesce({n}, m_{n}), 8) AS {n}" for n in EXPRESSIONS) + " FROM e, m")
 def interactions(spark, d):
     rows = t(spark, d, "lineitem")
-    out = {}
-    for name, (text, _) in EXPRESSIONS.items():
-        compiled, fill, _ = expr.fit_interaction(rows, text)
-        out[name] = F.round(expr.interaction(rows, compiled, fill), 8)
+    fitted = expr.fit_interactions(rows, {n: text for n, (text, _) in EXPRESSIONS.items()})
+    out = {n: F.round(expr.interaction(rows, c, fill), 8) for n, (c, fill, _) in fitted.items()}
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", *[c.alias(n) for n, c in out.items()])
 
 
