@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 NONE = 1 << 60
+#: A fixed value: the split pattern for which space-separated segments can be encoded on their own.
+SPACED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Text bytes that go through Python at once, and segments in one generation of the cache.
 SLICE_BYTES, KEPT = 4 << 20, 400_000
 
@@ -85,7 +87,7 @@ class Codec:
         import regex
 
         self.ranks, self.vocabulary = ranks, {v: k for k, v in ranks.items()}
-        self.split = regex.compile(pattern).findall
+        self.split, self.spaced = regex.compile(pattern).findall, pattern == SPACED
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.piece = lru_cache(maxsize=KEPT // 2)(lambda x: merge_piece(x.encode("utf-8"), self.ranks))
@@ -119,6 +121,8 @@ class Codec:
         """Ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
+        if not self.spaced:
+            return b"".join([array("I", merge_piece(x.encode("utf-8"), self.ranks)).tobytes() for x in self.split(text)])
         if self.odd.search(text):
             parts = self.split(text)
         else:

@@ -19,12 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir; where it is unset, a local one in local mode, else the warehouse's."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
-        import tempfile
+        if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
+            import tempfile
 
-        place = "file://" + tempfile.mkdtemp(prefix="tallyforge-")
+            place = "file://" + tempfile.mkdtemp(prefix="tallyforge-")
+        else:
+            place = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/tallyforge-scratch"
         spark.conf.set("spark.checkpoint.dir", place)
     return place
 

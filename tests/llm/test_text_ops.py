@@ -30,6 +30,14 @@ def test_bpe_equals_library(library, text):
     assert codec.decode(ids).decode() == text
 
 
+def test_bpe_with_another_pattern():
+    assert bpe.SPACED == PATTERN
+    other = r"\p{L}+|[^\p{L}]+"
+    encoding = tiktoken.Encoding("other", pat_str=other, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+    text = "two words, and  33 numbers\n"
+    assert np.frombuffer(bpe.codec(RANKS, other).encode(text), "<u4").tolist() == encoding.encode_ordinary(text)
+
+
 def test_bpe_table(spark, library):
     texts = [None, "", "a" * 30000, "The quick  brown\n\n fox", "x y " * 500, "<|endoftext|>"]
     df = spark.createDataFrame([(k, t, "z") for k, t in enumerate(texts)], "doc_id long, text string, ids string")
