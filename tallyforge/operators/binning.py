@@ -16,22 +16,26 @@ BANDS = ((0.02, "useless"), (0.1, "weak"), (0.3, "medium"), (0.5, "strong"))
 LEAK, USABLE = 0.5, 0.02
 
 
-def cuts(edges: Sequence[float]) -> Column:
-    """Inner edges as an array column."""
-    return F.array(*[F.lit(float(e)) for e in edges]) if len(edges) else F.array().cast("array<double>")
+def bin_tree(value: Column, inner: Sequence[float], closed: str) -> Column:
+    """How many sorted inner edges are at most (``left``) or under (``right``) the value: a generated binary search."""
+    def search(a: int, b: int) -> Column:
+        if a == b:
+            return F.lit(a)
+        mid = (a + b) // 2
+        e = F.lit(float(inner[mid]))
+        return F.when(value >= e if closed == "left" else value > e, search(mid + 1, b)).otherwise(search(a, mid))
 
+    return search(0, len(inner))
 
-def left_closed(value: Column, inner: Column | Sequence[float], nan_bin: int | None = None) -> Column:
+
+def left_closed(value: Column, inner: Sequence[float], nan_bin: int | None = None) -> Column:
     """The bin [a, b) of a value: how many inner edges are at most the value. Nulls: ``nan_bin``."""
-    inner = inner if isinstance(inner, Column) else cuts(inner)
-    out = F.size(F.filter(inner, lambda e: e <= value))
-    return F.when(value.isNotNull() & ~F.isnan(value), out).otherwise(F.lit(nan_bin))
+    return F.when(value.isNotNull() & ~F.isnan(value), bin_tree(value, inner, "left")).otherwise(F.lit(nan_bin))
 
 
-def right_closed(value: Column, inner: Column | Sequence[float]) -> Column:
+def right_closed(value: Column, inner: Sequence[float]) -> Column:
     """The bin (a, b] of a value: how many inner edges are under the value. Nulls stay null."""
-    inner = inner if isinstance(inner, Column) else cuts(inner)
-    return F.when(value.isNotNull(), F.size(F.filter(inner, lambda e: e < value)))
+    return F.when(value.isNotNull(), bin_tree(value, inner, "right"))
 
 
 def percentiles(value: Column, bins: int, exact: bool = True) -> Column:
