@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions.scalars import numeric_columns
+from tallyforge.operators.ordered import bin_tree, quantiles
 from tallyforge.operators.profile import melt, quoted, wide
 
 #: Information value bands, the leak threshold and the smallest usable value.
@@ -16,18 +17,6 @@ BANDS = ((0.02, "useless"), (0.1, "weak"), (0.3, "medium"), (0.5, "strong"))
 LEAK, USABLE = 0.5, 0.02
 
 
-def bin_tree(value: Column, inner: Sequence[float], closed: str) -> Column:
-    """How many sorted inner edges are at most (``left``) or under (``right``) the value: a generated binary search."""
-    def search(a: int, b: int) -> Column:
-        if a == b:
-            return F.lit(a)
-        mid = (a + b) // 2
-        e = F.lit(float(inner[mid]))
-        return F.when(value >= e if closed == "left" else value > e, search(mid + 1, b)).otherwise(search(a, mid))
-
-    return search(0, len(inner))
-
-
 def left_closed(value: Column, inner: Sequence[float], nan_bin: int | None = None) -> Column:
     """The bin [a, b) of a value: how many inner edges are at most the value. Nulls: ``nan_bin``."""
     return F.when(value.isNotNull() & ~F.isnan(value), bin_tree(value, inner, "left")).otherwise(F.lit(nan_bin))
@@ -38,14 +27,9 @@ def right_closed(value: Column, inner: Sequence[float]) -> Column:
     return F.when(value.isNotNull(), bin_tree(value, inner, "right"))
 
 
-def percentiles(value: Column, bins: int, exact: bool = True) -> Column:
-    ps = [k / bins for k in range(bins + 1)]
-    return F.percentile(value, F.array(*[F.lit(p) for p in ps])) if exact else F.percentile_approx(value, ps, 10_000)
-
-
 def quantile_edges(df: DataFrame, columns: Sequence[str], bins: int, exact: bool = True) -> dict[str, list[float]]:
-    """Distinct quantile edges of many columns in one job (empty for an all-null column)."""
-    got = wide(df, {c: percentiles(quoted(c).cast("double"), bins, exact) for c in columns})
+    """Distinct quantile edges of many columns in a few jobs (empty for an all-null column)."""
+    got = quantiles({c: quoted(c) for c in columns}, df, [k / bins for k in range(bins + 1)], exact)
     return {c: sorted(set(v)) if v else [] for c, v in got.items()}
 
 

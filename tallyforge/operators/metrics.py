@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyforge.operators.binning import percentiles, right_closed
-from tallyforge.operators.ordered import running_sums
+from tallyforge.operators.binning import right_closed
+from tallyforge.operators.ordered import quantiles, running_sums
 from tallyforge.operators.profile import quoted
 
 
@@ -76,7 +76,7 @@ def metrics_by_part(df: DataFrame, part: str, score: str, label: str) -> DataFra
 
 
 def score_edges(df: DataFrame, score: Column, bins: int) -> list[float]:
-    got = df.agg(percentiles(score, bins).alias("x")).first()[0]
+    got = quantiles({"s": score}, df, [k / bins for k in range(bins + 1)])["s"]
     return sorted(set(got)) if got else []
 
 

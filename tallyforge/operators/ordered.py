@@ -6,11 +6,20 @@ a bucket is a sum over the few bucket totals.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BUCKETS = 64
+#: Inputs that the optimizer takes for smaller than this get their quantiles in one aggregate.
+SMALL_BYTES = 1 << 30
+
+
+def plan_bytes(df: DataFrame) -> int:
+    """The optimizer's size of the rows; no job runs."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def bucket_of(df: DataFrame, order: Column, buckets: int = BUCKETS) -> Column:
@@ -55,3 +64,65 @@ def is_sorted(df: DataFrame, column: str, order: str, buckets: int = BUCKETS) ->
     each = flag.groupBy("b").agg(F.bool_and("ok").alias("ok"), F.min("v").alias("low"), F.max("v").alias("high"))
     joint = each.withColumn("joint", F.coalesce(F.col("low") >= F.max("high").over(W.orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(True)))
     return joint.agg(F.coalesce(F.bool_and(F.col("ok") & F.col("joint")), F.lit(True)).alias("is_sorted"))
+
+
+def bin_tree(value: Column, inner: Sequence[float], closed: str) -> Column:
+    """How many sorted inner edges are at most (``left``) or under (``right``) the value: a generated binary search."""
+    def search(a: int, b: int) -> Column:
+        if a == b:
+            return F.lit(a)
+        mid = (a + b) // 2
+        e = F.lit(float(inner[mid]))
+        return F.when(value >= e if closed == "left" else value > e, search(mid + 1, b)).otherwise(search(a, mid))
+
+    return search(0, len(inner))
+
+
+def quantiles(values: dict[str, Column], df: DataFrame, probs: Sequence[float], exact: bool = True, buckets: int = BUCKETS, small: int = SMALL_BYTES) -> dict[str, list[float] | None]:
+    """Quantiles (linear interpolation) of many expressions; None where there are no values. Sketches if not ``exact``.
+
+    Inputs under ``small`` bytes take one aggregate. Beyond, rows are counted by bucket of rough quantiles, then values in the buckets that hold a wanted rank: no task holds all
+    values of a column, and the driver gets counts by bucket and the wanted values.
+    """
+    d = {c: F.when(~F.isnan(v.cast("double")), v.cast("double")) for c, v in values.items()}
+    if not d:
+        return {}
+    if exact and plan_bytes(df) < small:
+        ps = F.array(*[F.lit(float(p)) for p in probs])
+        return dict(zip(d, df.agg(*[F.percentile(v, ps).alias(f"x{k}") for k, v in enumerate(d.values())]).first(), strict=True))
+    at = list(probs) if not exact else [k / buckets for k in range(1, buckets)]
+    rough = df.agg(*[F.percentile_approx(v, at, 10_000 if not exact else 1000).alias(f"x{k}") for k, v in enumerate(d.values())]).first()
+    if not exact:
+        return dict(zip(d, rough, strict=True))
+    names = list(d)
+    edges = [sorted(set(r)) if r else [] for r in rough]
+    cells = F.array(*[F.struct(F.lit(k).alias("f"), d[c].alias("v"), bin_tree(d[c], edges[k], "left").alias("b")) for k, c in enumerate(names)])
+    long = df.select(F.explode(cells).alias("x")).select("x.*").where("v is not null")
+    counts: dict[int, list[tuple[int, int]]] = {k: [] for k in range(len(names))}
+    for r in long.groupBy("f", "b").agg(F.count("*").alias("n")).collect():  # a row a bucket
+        counts[r.f].append((r.b, r.n))
+    wanted: dict[tuple[int, int], set[int]] = {}
+    ranks: dict[str, list[tuple[int, int, float]]] = {}
+    place: dict[tuple[int, int], tuple[int, int]] = {}
+    for k, c in enumerate(names):
+        total = sum(n for _, n in counts[k])
+        ranks[c] = [(int((total - 1) * p), min(int((total - 1) * p) + 1, total - 1), (total - 1) * p - int((total - 1) * p)) for p in probs] if total else []
+        start = 0
+        need = sorted({x for lo, hi, _ in ranks[c] for x in (lo, hi)})
+        for b, n in sorted(counts[k]):
+            for x in need:
+                if start <= x < start + n:
+                    place[(k, x)] = (b, x - start)
+                    wanted.setdefault((k, b), set()).add(x - start)
+            start += n
+    if not wanted:
+        return {c: None for c in names}
+    asked = df.sparkSession.createDataFrame([(f, b, sorted(o)) for (f, b), o in wanted.items()], "f int, b int, off array<long>")
+    asked = F.broadcast(asked)  # a row a bucket that holds a wanted rank
+    each = long.join(asked, ["f", "b"], "left_semi").groupBy("f", "b", "v").agg(F.count("*").alias("n")).join(asked, ["f", "b"])
+    upto = F.sum("n").over(W.partitionBy("f", "b").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow))
+    hit = each.withColumn("upto", upto).withColumn("off", F.filter("off", lambda o: (o < F.col("upto")) & (o >= F.col("upto") - F.col("n")))).where(F.size("off") > 0)
+    found = {(r.f, r.b, o): r.v for r in hit.select("f", "b", "v", "off").collect() for o in r.off}
+    value = lambda k, x: found[(k, *place[(k, x)])]
+    mix = lambda a, b, w: a if w == 0 or a == b else a + (b - a) * w
+    return {c: [mix(value(k, lo), value(k, hi), w) for lo, hi, w in ranks[c]] if ranks[c] else None for k, c in enumerate(names)}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyforge import roles
-from tallyforge.operators.ordered import is_sorted
+from tallyforge.operators.ordered import is_sorted, quantiles
 from tallyforge.functions.scalars import DATE_FORMATS, INFINITE, NUMBER, is_numeric, numeric_columns
 
 #: Columns in one wide aggregate: more would pass the limits of generated code.
@@ -96,9 +96,8 @@ def skew_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def quartiles(df: DataFrame, columns: Sequence[str], exact: bool = True) -> dict[str, tuple[float, float] | None]:
-    """First and third quartiles of many columns in one job; ``exact`` off uses sketches."""
-    f = (lambda c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.75)))) if exact else (lambda c: F.percentile_approx(c, [0.25, 0.75], 10_000))
-    got = wide(df, {c: f(quoted(c).cast("double")) for c in columns})
+    """First and third quartiles of many columns; ``exact`` off uses sketches."""
+    got = quantiles({c: quoted(c) for c in columns}, df, [0.25, 0.75], exact)
     return {c: (v[0], v[1]) if v else None for c, v in got.items()}
 
 

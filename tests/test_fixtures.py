@@ -198,6 +198,15 @@ def test_ordered(spark):
     assert ordered.is_sorted(rows, "id", "id").first()[0] and not ordered.is_sorted(rows, "v", "id").first()[0]
 
 
+def test_quantiles_by_bucket(spark):
+    df = spark.range(3000).select((F.col("id") * 7919 % 3001).cast("double").alias("a"), (F.col("id") % 3).cast("double").alias("b"), F.when(F.col("id") % 2 == 0, F.exp(F.randn(4))).alias("c"), F.lit(None).cast("double").alias("d"))
+    values, probs = {c: F.col(c) for c in "abcd"}, [0, 0.01, 0.25, 0.5, 0.777, 1]
+    one, many = (ordered.quantiles(values, df, probs, buckets=9, small=k) for k in (1 << 60, 0))
+    assert many["d"] is None and one["d"] is None
+    for c in "abc":
+        assert many[c] == pytest.approx(one[c], rel=1e-12)
+
+
 def test_pruning_loops():
     worth = {f"f{k}": 1.0 / (k + 1) for k in range(20)}
     fit = lambda cols: (sum(worth[c] for c in cols[:5]) and min(0.8, sum(worth[c] for c in cols)), worth)
