@@ -50,41 +50,47 @@ def layout(tokens: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndar
 def step(p: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, first: np.ndarray, used: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss (nats) over the ``used`` targets, and its gradient."""
     scale = np.float32(WIDTH**-0.5)
+    flat = lambda x: x.reshape(-1, x.shape[-1])
     h = p["embed"][inputs]
-    hq = h[:, CHUNK:]
+    hq = np.ascontiguousarray(h[:, CHUNK:])
     q, k, v = hq @ p["q"], h @ p["k"], h @ p["v"]
-    s = q @ k.transpose(0, 2, 1) * scale + p["near"][np.maximum(DISTANCE, 0)]
-    s = np.where(SEEN, s, np.float32(-1e9))
+    s = q @ k.transpose(0, 2, 1)
+    s *= scale
+    s += np.where(SEEN, p["near"][np.maximum(DISTANCE, 0)], np.float32(-1e9))
     s[first, :, :CHUNK] = -1e9
-    a = np.exp(s - s.max(axis=2, keepdims=True))
+    s -= s.max(axis=2, keepdims=True)
+    a = np.exp(s, out=s)
     a /= a.sum(axis=2, keepdims=True)
     c = a @ v
     o = hq + c @ p["o"]
-    z = o @ p["out"] + p["bias"]
-    z -= z.max(axis=2, keepdims=True)
-    e = np.exp(z)
-    prob = e / e.sum(axis=2, keepdims=True)
-    n = max(int(used.sum()), 1)
-    rows, cols = np.indices(targets.shape)
-    loss = float(-np.log(np.maximum(prob[rows, cols, targets], 1e-30))[used].sum() / n)
-    d = prob
-    d[rows, cols, targets] -= 1
-    d *= (used / n)[:, :, None].astype(np.float32)
-    flat = lambda x: x.reshape(-1, x.shape[-1])
-    g = {"out": flat(o).T @ flat(d), "bias": d.sum(axis=(0, 1))}
-    do = d @ p["out"].T
+    z = flat(o) @ p["out"]
+    z += p["bias"]
+    np.clip(z, -60, 60, out=z)
+    at = np.arange(len(z)), targets.ravel().astype(np.intp)
+    hit = z[at]
+    d = np.exp(z, out=z)
+    total = d @ np.ones(d.shape[1], d.dtype)
+    mask = used.ravel()
+    n = max(int(mask.sum()), 1)
+    loss = float((np.log(total) - hit)[mask].sum() / n)
+    share = (mask / n).astype(d.dtype)
+    d *= (share / total)[:, None]
+    d[at] -= share
+    g = {"out": flat(o).T @ d, "bias": np.ones(len(d), d.dtype) @ d}
+    do = (d @ p["out"].T).reshape(o.shape)
     g["o"] = flat(c).T @ flat(do)
     dc = do @ p["o"].T
     da = dc @ v.transpose(0, 2, 1)
     dv = a.transpose(0, 2, 1) @ dc
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True))
+    da -= (da * a).sum(axis=2, keepdims=True)
+    ds = np.multiply(da, a, out=da)
     g["near"] = np.bincount(np.maximum(DISTANCE, 0).ravel(), weights=(ds.sum(axis=0) * SEEN).ravel(), minlength=2 * CHUNK).astype(np.float32)
     dq, dk = ds @ k * scale, ds.transpose(0, 2, 1) @ q * scale
     g["q"], g["k"], g["v"] = flat(hq).T @ flat(dq), flat(h).T @ flat(dk), flat(h).T @ flat(dv)
     dh = dk @ p["k"].T + dv @ p["v"].T
     dh[:, CHUNK:] += do + dq @ p["q"].T
-    g["embed"] = np.zeros_like(p["embed"])
-    np.add.at(g["embed"], inputs.ravel(), flat(dh))
+    place = inputs.ravel().astype(np.intp)[:, None] * WIDTH + np.arange(WIDTH)
+    g["embed"] = np.bincount(place.ravel(), weights=dh.ravel(), minlength=p["embed"].size).reshape(p["embed"].shape).astype(dh.dtype)
     return loss, g
 
 

@@ -6,9 +6,9 @@ model gives the first factor, the counts of all training texts the second, with
 
 1. A bounded sample of training texts (about ``sample_docs``, chosen by id hash) fits the classes and the model's start, on the driver.
 2. Texts are dealt into blocks of about ``BLOCK_BYTES``. Each block counts its distinct words and goes on training on
-   one in ``EVERY`` chunks of its training texts, so counts and training follow the input.
+   every chunk of its training texts, once, so counts and training follow the input.
 3. Counts meet by ranges of 64-bit word hashes (0.0003 expected collisions among 10^8 distinct words); every block gets back the counts and classes of its own words, 5 bytes a
-   word. Models are averaged in up to 64 partial sums.
+   word. Models are averaged by their training tokens, in up to 64 partial sums.
 4. Each block scores its texts in overlapping windows.
 
 Null and empty texts have one token, the end. A null id is training data. Rows that share an id are scored one by one.
@@ -32,7 +32,8 @@ from . import attention as at
 from .common import shared_dir, stored
 from .shingles import U, word_hashes
 
-BLOCK_BYTES, EVERY, SAMPLE_DOCS, SAMPLE_BYTES = 12 << 20, 48, 600, 20_000
+BLOCK_BYTES, SAMPLE_DOCS, SAMPLE_BYTES = 12 << 20, 600, 20_000
+BATCH = 128
 OWN, HASHED = 95, 32
 CLASSES = 1 + OWN + HASHED
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -159,9 +160,8 @@ def count_words(path: str, own: dict[int, int], start: dict[str, np.ndarray], bu
             inputs, targets, first, flat = at.layout(kind[words.tokens[teach]], words.lengths[train])
             used = np.zeros(targets.size, bool)
             used[flat] = True
-            pick = slice(block % EVERY, None, EVERY)
-            got = at.train(start, inputs[pick], targets[pick], first[pick], used.reshape(targets.shape)[pick], 24, 0.004, seed=block)
-            yield -1 - block % 64, block, at.pack(got)
+            got = at.train(start, inputs, targets, first, used.reshape(targets.shape), -(-len(inputs) // BATCH), 0.004, BATCH, seed=block)
+            yield -1 - block % 64, block, np.int64(len(flat)).tobytes() + at.pack(got)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = table_of(list(batches))
@@ -178,14 +178,15 @@ def count_words(path: str, own: dict[int, int], start: dict[str, np.ndarray], bu
 
 
 def add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """By bucket: each block's counts (summed over all blocks) and classes back, and totals by class; models summed."""
+    """By bucket: each block's counts (summed over all blocks) and classes back, and totals by class; models summed, weighted by their tokens."""
     held: dict[int, list[tuple[int, bytes]]] = {}
     models: dict[int, tuple[np.ndarray, int]] = {}
     for batch in batches:
         for bucket, block, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if bucket < 0:
                 total, n = models.get(bucket, (0.0, 0))
-                models[bucket] = (total + np.frombuffer(data, np.float32).astype(np.float64), n + 1)
+                tokens = int(np.frombuffer(data[:8], np.int64)[0])
+                models[bucket] = (total + tokens * np.frombuffer(data[8:], np.float32).astype(np.float64), n + tokens)
             else:
                 held.setdefault(bucket, []).append((block, data))
 

@@ -79,3 +79,34 @@ def test_probabilities_sum_to_one():
 
 def test_empty(spark):
     assert lm.score_texts(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def train_batch(block, texts):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array([block] * len(texts), pa.int32()), pa.array(texts), pa.array([False] * len(texts))], names=["block", "__t", "held"])
+
+
+def test_a_block_trains_on_every_chunk(monkeypatch):
+    seen = []
+    step = at.step
+    monkeypatch.setattr(at, "step", lambda p, i, t, f, u: seen.append(int(u.sum())) or step(p, i, t, f, u))
+    for k in (20, 5000):  # fewer chunks than one in 48 finds, and more than 24 batches of 128 hold
+        seen.clear()
+        texts = [" ".join(f"w{j % 7}" for j in range(16)) for _ in range(k)]
+        list(lm.count_words(PATH, {}, at.init(lm.CLASSES), 3)(iter([train_batch(47, texts)])))
+        assert sum(seen) == 17 * k
+
+
+def test_models_weigh_by_their_tokens():
+    import pyarrow as pa
+
+    start = at.init(lm.CLASSES)
+    rows = []
+    for n in (1, 9):
+        for b in lm.count_words(PATH, {}, start, 3)(iter([train_batch(64 * n, ["a b c"] * n)])):
+            rows += [r for r in b.to_pylist() if r["bucket"] < 0]
+    got = [r for b in lm.add_counts(iter([pa.RecordBatch.from_pylist(rows, b.schema)])) for r in b.to_pylist()]
+    models = [np.frombuffer(r["data"][-4 * sum(v.size for v in start.values()) :], np.float32).astype(np.float64) for r in rows]
+    assert [r["n"] for r in got] == [4 + 36]
+    assert np.allclose(np.frombuffer(got[0]["data"], np.float64), 4 * models[0] + 36 * models[1])
