@@ -4,7 +4,9 @@ P(word | context) = P(class | context) * P(word | class). The class of a word fo
 vocabulary entry that starts the word; frequent ids have a class of their own, the rest share hashed ones. The attention
 model gives the first factor, the counts of all training texts the second, with one unknown word a class.
 
-1. A bounded sample of training texts (about ``sample_docs``, chosen by id hash) fits the classes and the model's start, on the driver.
+1. The subword ids of all training texts are counted (a row an id, 50,000 at most) and the most frequent get the own classes. A
+   sample of pieces of training texts, long ones included, trains the model's start on the driver: about ``sample_docs`` pieces
+   of ``PIECE`` characters at most, growing with the root of the input up to ``SAMPLE_BYTES``.
 2. Texts are dealt into blocks of about ``BLOCK_BYTES``. Each block counts its distinct words and goes on training on
    every chunk of its training texts, once, so counts and training follow the input.
 3. Counts meet by ranges of 64-bit word hashes (0.0003 expected collisions among 10^8 distinct words); every block gets back the counts and classes of its own words, 5 bytes a
@@ -19,6 +21,7 @@ columns are joined back by the caller: the result has the id and the scores.
 from __future__ import annotations
 
 import base64
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,13 +35,14 @@ from . import attention as at
 from .common import shared_dir, stored
 from .shingles import U, word_hashes
 
-BLOCK_BYTES, SAMPLE_DOCS, SAMPLE_BYTES = 12 << 20, 600, 20_000
-BATCH = 128
+BLOCK_BYTES, BATCH = 12 << 20, 128
+SAMPLE_DOCS, SAMPLE_OF, PIECE, SAMPLE_BYTES = 600, 100 << 20, 20_000, 32 << 20
 OWN, HASHED = 95, 32
 CLASSES = 1 + OWN + HASHED
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 END = U(0x243F6A8885A308D3)
 LOG10 = np.log10(np.e)
+SPACE = re.compile(rb"[ \t-\r]")
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -46,17 +50,24 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 @lru_cache(maxsize=2)
-def vocabulary(path: str) -> dict[bytes, int]:
+def vocabulary(path: str) -> tuple[dict[bytes, int], dict[bytes, int], dict[bytes, int]]:
+    """Ids of the entries of 12 bytes at most that begin with a space, without it; the most bytes of those by their first four; ids of single bytes."""
     with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f) if a}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f) if a}
+    spaced = {x[1:]: n for x, n in ranks.items() if x[:1] == b" " and 2 <= len(x) <= 12}
+    longest: dict[bytes, int] = {}
+    for x in spaced:
+        longest[x[:4]] = max(longest.get(x[:4], 3), len(x))
+    return spaced, longest, {x: n for x, n in ranks.items() if len(x) == 1}
 
 
-def subword(word: bytes, ranks: dict[bytes, int]) -> int:
+def subword(word: bytes, entries: tuple[dict[bytes, int], dict[bytes, int], dict[bytes, int]]) -> int:
     """The id of the longest vocabulary entry, of 12 bytes at most, that starts the word behind a space."""
-    for n in range(min(len(word), 11), 0, -1):
-        if (r := ranks.get(b" " + word[:n])) is not None:
+    spaced, longest, single = entries
+    for n in range(min(len(word), longest.get(word[:4], 3)), 0, -1):
+        if (r := spaced.get(word[:n])) is not None:
             return r
-    return ranks.get(word[:1], 0)
+    return single.get(word[:1], 0)
 
 
 class Words:
@@ -106,7 +117,7 @@ class Words:
         return out
 
 
-def classes_of(strings: list[bytes | None], ranks: dict[bytes, int], own: dict[int, int]) -> np.ndarray:
+def classes_of(strings: list[bytes | None], entries: tuple, own: dict[int, int]) -> np.ndarray:
     """Class 0 is the end, then the frequent ids' own classes, then the hashed ones."""
     find = own.get
     out = np.empty(len(strings), np.uint8)
@@ -114,28 +125,71 @@ def classes_of(strings: list[bytes | None], ranks: dict[bytes, int], own: dict[i
         if w is None:
             out[k] = 0
         else:
-            s = subword(w, ranks)
+            s = subword(w, entries)
             out[k] = find(s) or 1 + OWN + s % HASHED
     return out
 
 
-def fit_start(texts: list[bytes], path: str, steps: int) -> tuple[dict[int, int], dict[str, np.ndarray]]:
-    """Own classes of the sample's most frequent subword ids, and a model trained on the sample."""
+def count_subwords(path: str):
+    """Subword ids of the words of all texts, with their counts in this task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entries = vocabulary(path)
+        words: Counter[bytes] = Counter()
+        count: Counter[int] = Counter()
+
+        def fold() -> None:
+            for w, n in words.items():
+                count[subword(w, entries)] += n
+            words.clear()
+
+        for batch in batches:
+            for x in batch.column(0).cast(pa.binary()).to_pylist():
+                begin = 0
+                while begin < len(x):
+                    gap = SPACE.search(x, begin + (1 << 20))
+                    end = gap.start() if gap else len(x)
+                    words.update(x[begin:end].translate(LOWER).split())
+                    begin = end
+                if len(words) > 200_000:
+                    fold()
+        fold()
+        yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.int32()), pa.array(list(count.values()), pa.int64())], names=["s", "n"])
+
+    return run
+
+
+def fit_classes(texts: DataFrame, path: str) -> dict[int, int]:
+    """Own classes of the most frequent subword ids of all ``texts``; ties go to the lower id."""
+    count = texts.mapInArrow(count_subwords(path), "s int, n long").groupBy("s").agg(F.sum("n").alias("n")).collect()
+    return {r.s: k + 1 for k, r in enumerate(sorted(count, key=lambda r: (-r.n, r.s))[:OWN])}
+
+
+def sample_pieces(docs: DataFrame, sample_docs: int, size: int, pieces: int) -> list[bytes]:
+    """Pieces of the texts, chosen by hash, each as likely as any other."""
+    wanted = sample_docs * max(size / SAMPLE_OF, 1) ** 0.5
+    wanted = max(min(wanted, SAMPLE_BYTES * pieces / max(size, 1)), 1)
+    one_in = max(int(-(-pieces // wanted)), 1)
+    mine = F.filter(F.sequence(F.lit(0), pieces_of("__t") - 1), lambda k: F.pmod(F.xxhash64("id", F.octet_length("__t"), k), F.lit(one_in)) == 0)
+    cut = docs.where(pieces_of("__t") > 0).select("id", F.explode(F.transform(mine, lambda k: F.substr("__t", k * PIECE + 1, F.lit(PIECE)))).alias("__t"))
+    rows = cut.limit(int(2 * wanted) + 1).collect()
+    return [r["__t"].encode() for r in sorted(rows, key=lambda r: (str(r["id"]), r["__t"]))]
+
+
+def pieces_of(text: str) -> Column:
+    return F.ceil(F.length(text) / PIECE).cast("int")
+
+
+def fit_start(texts: list[bytes], path: str, own: dict[int, int], steps: int) -> dict[str, np.ndarray]:
+    """A model trained on the sample: ``steps`` steps, or one for each batch of its chunks where they are more."""
     start = at.init(CLASSES)
     if not texts:
-        return {}, start
-    ranks, words = vocabulary(path), Words(texts)
-    strings = words.strings(texts)
-    seen = np.bincount(words.tokens, minlength=len(strings))
-    count: Counter[int] = Counter()
-    for w, n in zip(strings, seen.tolist(), strict=True):
-        if w is not None:
-            count[subword(w, ranks)] += n
-    own = {s: k + 1 for k, (s, _) in enumerate(sorted(count.items(), key=lambda x: (-x[1], x[0]))[:OWN])}
-    inputs, targets, first, flat = at.layout(classes_of(strings, ranks, own)[words.tokens], words.lengths)
+        return start
+    words = Words(texts)
+    inputs, targets, first, flat = at.layout(classes_of(words.strings(texts), vocabulary(path), own)[words.tokens], words.lengths)
     used = np.zeros(targets.size, bool)
     used[flat] = True
-    return own, at.train(start, inputs, targets, first, used.reshape(targets.shape), steps, 0.02)
+    return at.train(start, inputs, targets, first, used.reshape(targets.shape), max(steps, -(-len(inputs) // BATCH)), 0.02, BATCH)
 
 
 def table_of(batches: list[pa.RecordBatch]) -> pa.Table | None:
@@ -257,13 +311,11 @@ def score_texts(df: DataFrame, vocabulary_path: str, doc_id: str = "doc_id", tex
     spark = df.sparkSession
     shared_dir(spark)
     docs = df.select(F.col(doc_id).alias("id"), F.col(text).alias("__t"), is_held_out(F.col(doc_id)).alias("held"))
-    fit = ~F.col("held") & F.octet_length("__t").between(1, SAMPLE_BYTES)
-    size, rows = docs.agg(F.sum(F.octet_length("__t")), F.count(F.when(fit, 1))).first()
-    size = size or 0
+    taught = docs.where(~F.col("held") & F.col("__t").isNotNull())
+    size, pieces = (x or 0 for x in docs.agg(F.sum(F.octet_length("__t")), F.sum(F.when(~F.col("held"), pieces_of("__t").cast("long")))).first())
     blocks = max(-(-size // block_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    one_in = max(-(-rows // sample_docs), 1)
-    sample = docs.where(fit & (F.pmod(F.xxhash64("id"), F.lit(one_in)) == 0)).limit(2 * sample_docs).select("id", "__t").collect()
-    own, start = fit_start([r["__t"].encode() for r in sorted(sample, key=lambda r: (str(r["id"]), r["__t"]))], vocabulary_path, steps)
+    own = fit_classes(taught.select("__t"), vocabulary_path)
+    start = fit_start(sample_pieces(taught, sample_docs, size, pieces), vocabulary_path, own, steps)
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("id", F.octet_length("__t")), F.lit(blocks)).cast("int")).repartition("block")
     sent = dealt.mapInArrow(count_words(vocabulary_path, own, start, blocks), "bucket int, block int, data binary")
     back = stored(sent.repartition("bucket").mapInArrow(add_counts, "block int, bucket int, n long, data binary"), "counts")

@@ -110,3 +110,22 @@ def test_models_weigh_by_their_tokens():
     models = [np.frombuffer(r["data"][-4 * sum(v.size for v in start.values()) :], np.float32).astype(np.float64) for r in rows]
     assert [r["n"] for r in got] == [4 + 36]
     assert np.allclose(np.frombuffer(got[0]["data"], np.float64), 4 * models[0] + 36 * models[1])
+
+
+def test_classes_and_start_see_all_training_texts(spark, monkeypatch):
+    seen = {}
+    count, fit = lm.count_words, lm.fit_start
+    monkeypatch.setattr(lm, "count_words", lambda path, own, *x: seen.update(own=own) or count(path, own, *x))
+    monkeypatch.setattr(lm, "fit_start", lambda texts, *x: seen.update(texts=texts) or fit(texts, *x))
+    rare = ["water", "\u0432\u043e\u0434\u0430", "agua"]
+    docs = [(i, "house " * 20) for i in range(300)] + [(1000 + i, f"{w} " * 9) for i, w in enumerate(rare)]
+    docs = [d for d in docs if zlib.crc32(str(d[0]).encode()) % 7 != 2] + [(k, "forest " * 9000) for k in (5000, 5001, 5002)]
+    lm.score_texts(spark.createDataFrame(docs, "doc_id long, text string"), PATH, sample_docs=20, steps=2).count()
+    ranks = lm.vocabulary(PATH)
+    want = Counter()
+    for i, x in docs:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            want.update(lm.subword(w.encode(), ranks) for w in x.split())
+    assert list(seen["own"]) == sorted(want, key=lambda k: (-want[k], k))
+    lm.score_texts(spark.createDataFrame(docs, "doc_id long, text string"), PATH, sample_docs=1000, steps=2).count()
+    assert sum(x.count(b"forest") for x in seen["texts"]) > 8000
