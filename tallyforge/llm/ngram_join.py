@@ -32,12 +32,15 @@ BLOCK = 512
 
 
 def choose_bands(threshold: float, recall: float, most: int = 12) -> tuple[int, int]:
-    """(bands, rows): the most rows a band for which ``most`` bands or fewer reach ``recall`` at ``threshold``."""
-    best = (1, 1)
+    """(bands, rows): the most rows a band for which ``most`` bands or fewer reach ``recall`` at ``threshold``.
+
+    Where no row count does, as many bands of one row as the recall needs.
+    """
+    best = None
     for rows in range(1, 9):
         hit = threshold**rows
         bands = 1 if hit >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - hit))
-        if bands <= most:
+        if bands <= most or best is None:
             best = (bands, rows)
     return best
 

@@ -77,3 +77,18 @@ def test_bands_and_hashes():
     assert words[0] == words[3] == words[4] and words[1] == words[2]
     sets, sizes = shingle_sets([b"a b c d e f", b"x", b"", b"a b c d e a b c d e"])
     assert sizes.tolist() == [2, 1, 0, 5]
+
+
+def test_bands_reach_every_recall():
+    assert nj.choose_bands(0.8, 0.999) == (10, 3)
+    for t, recall in ((0.3, 0.999), (0.4, 0.999), (0.8, 1 - 1e-9), (0.1, 0.99), (1.0, 0.999)):
+        b, r = nj.choose_bands(t, recall)
+        assert 1 - (1 - t**r) ** b >= recall - 1e-12
+
+
+def test_production_recall_and_low_threshold_equal_brute_force(spark):
+    docs = corpus(1, 40, 25)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for t in (0.8, 0.4):
+        got = {r.doc_id: (r.class_id, r.group_id, r.n_links) for r in nj.join_ngrams(df, threshold=t).collect()}
+        assert got == brute(docs, t)
