@@ -53,11 +53,11 @@ def test_blocks_of_a_large_group(spark, monkeypatch):
     docs = corpus(2, 5, 60)
     one = run(spark, docs)
     assert one == brute(docs)
-    rows = [(1, 0, -1, 0, i, 1, np.arange(3).tobytes(), np.arange(i, i + 50, dtype=np.uint64).tobytes()) for i in range(30)]
+    rows = [(1, 0, -1, 0, i, i, 1, np.arange(3).tobytes(), np.arange(i, i + 50, dtype=np.uint64).tobytes()) for i in range(30)]
     whole = sorted(nj.compare(rows, 800))
     want = {i: sum(0 < abs(i - j) <= 5 for j in range(30)) for i in range(30)}
-    assert {i: n for i, n, _ in whole} == want
-    assert {r for _, _, r in whole} == {0}
+    assert {i: n for i, _, n, _ in whole} == want
+    assert {r for *_, r in whole} == {0}
 
 
 def test_small_blocks(spark):
@@ -92,3 +92,19 @@ def test_production_recall_and_low_threshold_equal_brute_force(spark):
     for t in (0.8, 0.4):
         got = {r.doc_id: (r.class_id, r.group_id, r.n_links) for r in nj.join_ngrams(df, threshold=t).collect()}
         assert got == brute(docs, t)
+
+
+def test_repeated_and_null_ids(spark):
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    docs = [(1, a), (1, a), (2, a), (1, b), (3, b), (None, a), (None, None), (4, None), (4, ""), (5, "else " * 9)]
+    got = sorted((r.doc_id or 0, r.class_id or 0, r.group_id or 0, r.n_links) for r in nj.join_ngrams(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert got == sorted([(1, 1, 1, 2), (1, 1, 1, 2), (2, 1, 1, 2), (1, 1, 1, 1), (3, 1, 1, 1), (0, 0, 0, 0), (0, 0, 0, 0), (4, 4, 4, 0), (4, 4, 4, 0), (5, 5, 5, 0)])
+
+
+def test_repeats_with_near_copies(spark):
+    docs = corpus(4, 10, 20)
+    want = brute(docs)
+    twice = docs + [d for d in docs if d[0] == 5003]
+    got = {r.doc_id: r.n_links for r in nj.join_ngrams(spark.createDataFrame(twice, "doc_id long, text string"), recall=0.999999).collect()}
+    near = {i for i, x in docs if len(grams(x) & grams(dict(docs)[5003])) >= 0.8 * len(grams(x) | grams(dict(docs)[5003])) and grams(x)}
+    assert got == {i: n + (i in near) for i, (_, _, n) in want.items()}
