@@ -6,7 +6,7 @@ In the texts that met one, each window with such a fingerprint is compared word
 overlapping hits extend to maximal spans. Up to ``BROADCAST_ROWS`` distinct fingerprints (counted first) are broadcast, and
 a text's fingerprints then carry the words of their windows, so that no text is shuffled; more are joined by a shuffle of
 fingerprints, and only the texts that met one are read again. Benchmark items of fewer words are one window; their fingerprint is the
-smallest word hash, and texts are winnowed once more for each such length that occurs (12 at most).
+smallest word hash. One pass over the texts winnows for all lengths that occur (12 short ones at most).
 
 Nulls and texts without words have no windows: counts of 0, not contaminated. Repeated benchmark items all count; repeated
 text rows need distinct ids to be told apart. Texts of any length are read whole. An empty benchmark or an
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let
+from .common import ascii_lower, let, stored
 
 WINDOW, GRAM = 13, 5
 BROADCAST_ROWS = 500_000
@@ -45,7 +45,7 @@ def fingerprints(words: Column, size: int, gram: int) -> Column:
     return F.when(F.size(words) < size, none).otherwise(let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: let(grams(h), least)))
 
 
-def window_text(words: Column, at: Column, size: int) -> Column:
+def window_text(words: Column, at: Column, size: Column | int) -> Column:
     return F.array_join(F.slice(words, at + 1, size), " ")
 
 
@@ -61,43 +61,69 @@ def windows_of(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
     return both.groupBy("size", "window", "fp").agg(F.sort_array(F.collect_set(F.col("item").cast("string"))).alias("items"))
 
 
-def hits_by_broadcast(docs: DataFrame, mine: DataFrame, size: int, gram: int) -> DataFrame:
-    """Window starts that equal an item's window: (__id, i, items). The windows' fingerprints are broadcast."""
-    span = size - gram + 1
+def prints_of(words: Column, sizes: list[int]) -> Column:
+    """Structs (size, fp, i) of all window sizes: where a fingerprint begins, or the windows that share one would outgrow a run."""
+
+    def starts(prints: Column, size: int, gram: int) -> Column:
+        span = size - gram + 1
+        at = F.transform(prints, lambda f, i: F.when((i % span == 0) | (f != F.get(prints, i - 1)), F.struct(F.lit(size).alias("size"), f.alias("fp"), i.alias("i"))))
+        return F.filter(at, lambda x: x.isNotNull())
+
+    def of(n: int) -> Column:
+        return let(fingerprints(words, n, gram_of(n)), lambda f: starts(f, n, gram_of(n)))
+
+    return F.concat(*[of(n) for n in sizes])
+
+
+def gram_of(size: int) -> int:
+    return GRAM if size == WINDOW else 1
 
-    def runs(prints: Column, words: Column) -> Column:
-        first = F.filter(F.transform(prints, lambda f, i: F.when((i % span == 0) | (f != F.get(prints, i - 1)), i)), lambda i: i.isNotNull())
-        return F.transform(first, lambda i: F.struct(F.get(prints, i).alias("fp"), i.alias("i"), F.slice(words, i + 1, size + span - 1).alias("w")))
 
+def windows_in(w: Column, size: Column, at: Column) -> Column:
+    """The texts of the windows of ``size`` words that a run has, with their places; ``w``: the words of the run."""
+    return F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda j: F.struct((at + j).alias("i"), F.array_join(F.slice(w, j + 1, size), " ").alias("window")))
+
+
+def run_words(words: Column, x: Column) -> Column:
+    """The words of a run: its first window and those that may share its fingerprint."""
+    span = x["size"] - F.when(x["size"] == WINDOW, GRAM).otherwise(1) + 1
+    return F.slice(words, x["i"] + 1, x["size"] + span - 1)
+
+
+def hits_by_broadcast(docs: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFrame:
+    """Window starts that equal an item's window: (__id, i, n, items), from one pass over the texts. Fingerprints are broadcast."""
     rows = docs.select("__id", item_words(F.col("__t")).alias("w"))
-    rows = rows.select("__id", F.explode(let(F.col("w"), lambda w: let(fingerprints(w, size, gram), lambda f: runs(f, w)))).alias("x"))
-    met = rows.select("__id", "x.fp", "x.i", "x.w").join(F.broadcast(mine.select("fp").distinct()), "fp", "left_semi")
-    cut = met.select("__id", "i", "w", F.explode(F.sequence(F.lit(0), F.size("w") - size)).alias("j"))
-    cut = cut.select("__id", (F.col("i") + F.col("j")).alias("i"), window_text(F.col("w"), F.col("j"), size).alias("window"))
-    return cut.join(mine.select("window", "items"), "window").select("__id", "i", "items").distinct()
+    cut = lambda w: F.transform(prints_of(w, sizes), lambda x: F.struct(x["size"].alias("size"), x["fp"].alias("fp"), x["i"].alias("i"), run_words(w, x).alias("w")))
+    rows = rows.select("__id", F.explode(let(F.col("w"), cut)).alias("x")).select("__id", "x.*")
+    met = rows.join(F.broadcast(windows.select("size", "fp").distinct()), ["size", "fp"], "left_semi")
+    return equal_windows(met, windows)
+
+
+def hits_by_shuffle(docs: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFrame:
+    """As ``hits_by_broadcast``, for fingerprints of any number: ids, places and fingerprints are shuffled, and only texts that met one are tokenised again."""
+    at = docs.select("__id", F.explode(let(item_words(F.col("__t")), lambda w: prints_of(w, sizes))).alias("x")).select("__id", "x.*")
+    met = at.join(windows.select("size", "fp").distinct(), ["size", "fp"], "left_semi").groupBy("__id").agg(F.collect_list(F.struct("size", "i")).alias("at"))
+    near = docs.join(met, "__id").select("__id", "at", item_words(F.col("__t")).alias("w"))
+    runs = near.select("__id", F.explode(F.transform("at", lambda x: F.struct(x["size"].alias("size"), x["i"].alias("i"), run_words(F.col("w"), x).alias("w")))).alias("x"))
+    return equal_windows(runs.select("__id", "x.*"), windows)
 
 
-def hits_by_shuffle(docs: DataFrame, mine: DataFrame, size: int, gram: int) -> DataFrame:
-    """As ``hits_by_broadcast``, for fingerprints of any number."""
-    keys = mine.select("fp").distinct()
-    prints = docs.select("__id", F.explode(F.array_distinct(fingerprints(item_words(F.col("__t")), size, gram))).alias("fp"))
-    met = prints.join(keys, "fp").groupBy("__id").agg(F.collect_set("fp").alias("fps"))
-    near = docs.join(met, "__id").select("__id", "fps", item_words(F.col("__t")).alias("w"))
-    near = near.withColumn("at", F.filter(F.transform(fingerprints(F.col("w"), size, gram), lambda f, i: F.when(F.array_contains("fps", f), i)), lambda i: i.isNotNull()))
-    cut = near.select("__id", F.explode(F.transform("at", lambda i: F.struct(i.alias("i"), window_text(F.col("w"), i, size).alias("window")))).alias("x"))
-    return cut.select("__id", "x.i", "x.window").join(mine.select("window", "items"), "window").select("__id", "i", "items")
+def equal_windows(runs: DataFrame, windows: DataFrame) -> DataFrame:
+    """The windows of runs (__id, size, i, w) that equal an item's, word by word."""
+    cut = runs.select("__id", "size", F.explode(windows_in(F.col("w"), F.col("size"), F.col("i"))).alias("x"))
+    hit = cut.select("__id", "size", "x.i", "x.window").join(windows.select("size", "window", "items"), ["size", "window"])
+    return hit.select("__id", "i", F.col("size").alias("n"), "items").distinct()
 
 
 def find_hits(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """For each text with a hit: its id, the maximal hit spans [(start, length)] in words, n_hit and the item ids."""
-    windows = windows_of(benchmark, item_id, item_text)
-    sizes = sorted((r[0], r[1]) for r in windows.groupBy("size").agg(F.countDistinct("fp")).limit(WINDOW).collect())
+    windows = stored(windows_of(benchmark, item_id, item_text), "windows")
+    counts = [(r[0], r[1]) for r in windows.groupBy("size").agg(F.countDistinct("fp")).collect()]  # 13 rows at most
     docs = df.select(F.col(doc_id).alias("__id"), F.col(text).alias("__t")).where("__id is not null")
     found = None
-    for size, n in sizes:
-        way = hits_by_broadcast if n <= broadcast_rows else hits_by_shuffle
-        hit = way(docs, windows.where(F.col("size") == size), size, GRAM if size == WINDOW else 1).withColumn("n", F.lit(size))
-        found = hit if found is None else found.unionByName(hit)
+    if counts:
+        way = hits_by_broadcast if sum(n for _, n in counts) <= broadcast_rows else hits_by_shuffle
+        found = way(docs, windows, sorted(n for n, _ in counts))
     if found is None:
         found = docs.select("__id", F.lit(0).alias("i"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("items")).where("false")
     each = found.groupBy("__id").agg(F.sort_array(F.collect_list(F.struct("i", "n"))).alias("at"), F.collect_set("items").alias("sets"))
