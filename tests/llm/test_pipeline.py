@@ -21,6 +21,7 @@ def corpus():
     docs += [(50 + k, text(40) + "\n" + passage + "\n" + text(40)) for k in range(6)]
     docs += [(60 + k, text(30) + "\n" + items[k][1]) for k in range(4)]
     docs += [(70 + k, docs[k][1]) for k in range(5)] + [(80 + k, docs[40 + k][1] + " tail") for k in range(6)]
+    docs += [(100 + k, text(400) + "\n" + items[k % 2][1] + "\n" + text(500)) for k in range(3)]  # leaks in long texts, one passage twice
     docs += [(90, None), (91, ""), (92, "w " * 100), (93, "%%% " * 50)]
     return docs, items
 
@@ -33,20 +34,41 @@ def test_run_equals_brute_force(spark, tmp_path):
     left = [(i, t) for i, t in docs if not base_by_hand(t)[5]]
     groups = links_by_hand(left)
     left = [(i, t) for i, t in left if groups[i][1] == i]
-    cuts = cuts_by_hand(left)
+    before, cuts = leaks_by_hand(left, items), cuts_by_hand(left)
     left = [(i, cuts[i][3].decode()) for i, _ in left]
-    leaks = leaks_by_hand(left, items)
-    left = [(i, t) for i, t in left if not leaks[i][4]]
+    after = leaks_by_hand(left, items)
+    left = [(i, t) for i, t in left if not (before[i][1] or after[i][1])]
+    assert any(before[i][1] and not after[i][1] for i in before)
+    assert not {i for i, _ in left} & {*range(60, 64), *range(100, 103)}
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(public_tokenizers.path(cp.TOKENIZER)), special_tokens={})
     got = {r.doc_id: np.frombuffer(bytes(r.ids), "<u4").tolist() for r in cp.run(spark, str(tmp_path)).collect()}
     assert got == {i: library.encode_ordinary(t) for i, t in left}
     assert 0 < len(got) < len(docs)
 
 
-def test_stages_keep_the_columns(spark):
+def test_stages_keep_the_columns_of_empty_tables(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     empty = spark.createDataFrame([], schema)
-    for name, stage in cp.STAGES[:3]:
-        out = stage(spark, empty, "")
+    empty.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, empty, str(tmp_path))
         assert out.columns == empty.columns, name
         assert out.count() == 0
+    assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_odd_columns_repeated_and_null_ids(spark, tmp_path):
+    r = random.Random(4)
+    text = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(60)) + "."
+    a, b, c = text(), text(), text()
+    docs = [(1, a, "x", 7), (1, a, "y", 8), (2, b, None, None), (None, c, "z", 9), (3, a, "w", 1), (None, None, "n", 2)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, kept string, n_words long")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "one two")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = df
+    for _, stage in cp.STAGES[:-1]:
+        rows = stage(spark, rows, str(tmp_path))
+        assert rows.columns == df.columns
+    assert sorted(map(tuple, rows.collect()), key=str) == sorted([(1, a, "x", 7), (1, a, "y", 8), (2, b, None, None), (None, c, "z", 9)], key=str)
+    assert cp.run(spark, str(tmp_path)).columns == ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"]
