@@ -2,11 +2,12 @@
 
 A gear rolling hash over 16 bytes cuts a text where its five top bits are zero, between ``least`` and ``most`` bytes
 apart, so an insertion moves boundaries only around itself. Chunks meet by 128-bit digest: all but the one in the
-smallest doc_id (there, the first) are removed. Counting is a partial aggregation by digest and the verdict a join on
-it, so a chunk that a third of all documents share is never gathered in one task.
+smallest doc_id (there, the first) are repeats. A lone repeated chunk is a phrase; a stretch of neighbouring repeats of
+``stretch`` bytes or more is a passage and is removed. Chunks are cut once and stored. Counting is a partial aggregation by
+digest and the verdict a join on it over ``SALTS`` salts, so a chunk that a third of all documents share is dealt over many tasks.
 
-Nulls and empty texts have no chunks. Repeated rows need distinct ids: rows with one id count as one document.
-Very long texts are chunked whole. Empty tables give empty results. Columns named like an output are replaced; the
+Nulls and empty texts have no chunks, and rows without an id keep everything. Rows that share an id count as one document:
+neither removes the other's chunks, and a range that is removed in one is removed in all. Very long texts are chunked whole. Empty tables give empty results. Columns named like an output are replaced; the
 others pass through.
 """
 
@@ -21,9 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import by_bytes
+from .common import shared_dir, stored
 from .spans import cut_spans
 
 LEAST, MOST, TOP_BITS = 32, 256, 5
+STRETCH, SALTS = 128, 8
 
 
 def gear_table(seed: int = 11) -> np.ndarray:
@@ -90,15 +93,18 @@ def chunks(df: DataFrame, doc_id: str, text: str, least: int = LEAST, most: int
 
 def find_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, most: int = MOST) -> DataFrame:
     """For each document with repeated chunks: __id, __starts, __ends (byte ranges to remove) and n_dup_chunks."""
-    all_ = chunks(df, doc_id, text, least, most)
+    shared_dir(df.sparkSession)
+    all_ = stored(chunks(df, doc_id, text, least, most), "chunks")
     first = all_.where("not own").groupBy("h1", "h2").agg(F.min("__id").alias("first"), F.count("*").alias("docs")).where("docs > 1").drop("docs")
-    again = all_.where("not own").join(first, ["h1", "h2"]).where("__id > first").select("__id", "at", "size")
+    first = first.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    own = all_.where("not own").withColumn("salt", F.pmod(F.xxhash64("__id"), F.lit(SALTS)))
+    again = own.join(first, ["h1", "h2", "salt"]).where("__id > first").select("__id", "at", "size")
     both = again.unionByName(all_.where("own").select("__id", "at", "size"))
     out = both.groupBy("__id").agg(F.sort_array(F.collect_list(F.struct("at", "size"))).alias("x"))
     return out.select("__id", F.col("x.at").alias("__starts"), F.transform("x", lambda x: x["at"] + x["size"]).alias("__ends"))
 
 
-def dedup_chunks(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, most: int = MOST) -> DataFrame:
-    """Add n_bytes, n_removed, n_spans, n_dup_chunks and ``kept`` (the bytes left) to every row of ``df``."""
+def dedup_chunks(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, most: int = MOST, stretch: int = STRETCH) -> DataFrame:
+    """Add n_bytes, n_removed, n_spans, n_dup_chunks (repeats, lone ones too) and ``kept`` (the bytes left) to every row of ``df``."""
     found = find_repeats(df, doc_id, text, least, most)
-    return cut_spans(df.drop("n_dup_chunks"), found, doc_id, text).withColumnRenamed("n_found", "n_dup_chunks")
+    return cut_spans(df.drop("n_dup_chunks"), found, doc_id, text, shortest=stretch).withColumnRenamed("n_found", "n_dup_chunks")

@@ -32,12 +32,13 @@ def whole_characters(x: bytes, start: int, end: int) -> tuple[int, int]:
     return start, end
 
 
-def cut_spans(df: DataFrame, spans: DataFrame, doc_id: str, text: str, whole: bool = False) -> DataFrame:
+def cut_spans(df: DataFrame, spans: DataFrame, doc_id: str, text: str, whole: bool = False, shortest: int = 1) -> DataFrame:
     """Cut byte ranges out of each text.
 
     ``spans`` has one row for each id: ``__id``, ``__starts`` and ``__ends`` (arrays). Every row of ``df`` gets n_bytes,
-    n_removed, n_found (ranges as given), n_spans (maximal runs) and ``kept`` (binary: what is left). With ``whole``,
-    characters stay whole at the ends of a run. Ids without spans keep everything; nulls count as empty.
+    n_removed, n_found (ranges as given), n_spans (maximal runs) and ``kept`` (binary: what is left). Runs of fewer than
+    ``shortest`` bytes stay. With ``whole``, characters stay whole at the ends of a run. Ids without spans keep everything;
+    nulls count as empty; ranges end where a text ends.
     """
     df = df.drop("n_bytes", "n_removed", "n_found", "n_spans", "kept", "__id", "__starts", "__ends")
     keep = df.schema.fields
@@ -55,7 +56,7 @@ def cut_spans(df: DataFrame, spans: DataFrame, doc_id: str, text: str, whole: bo
                 n, cut, given, runs, left = [], [], [], [], []
                 for x, s, e in zip(raw, get("__starts").to_pylist(), get("__ends").to_pylist(), strict=True):
                     x = x or b""
-                    spans_ = merged(s, e) if s else []
+                    spans_ = [(a, min(b, len(x))) for a, b in (merged(s, e) if s else ()) if b - a >= shortest and a < len(x)]
                     if whole:
                         spans_ = [(a, b) for a, b in (whole_characters(x, a, b) for a, b in spans_) if a < b]
                     n.append(len(x))

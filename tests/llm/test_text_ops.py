@@ -130,22 +130,44 @@ def test_boundaries():
     assert len(cut(x) - cut(x[:2000] + y + x[2000:])) <= 4
 
 
-def test_chunk_dedup(spark):
-    r = random.Random(7)
-    text = lambda n: "".join(r.choice("abcdé ") for _ in range(n))
-    shared = text(400)
-    docs = [(k, text(300) + (shared if k % 3 == 0 else "") + text(100)) for k in range(30)] + [(99, None), (98, ""), (97, shared * 3)]
-    first = {}
-    for i, t in sorted(docs):
+def dedup_by_hand(docs):
+    """Chunks in order of id and place; stretches of repeats of STRETCH bytes or more go."""
+    seen, want = {}, {}
+    cut = lambda x: list(zip([0, *cdc.boundaries(x)], cdc.boundaries(x), strict=False))
+    for i, t in sorted(docs, key=lambda d: d[0]):
         x = (t or "").encode()
-        for a, b in zip([0, *cdc.boundaries(x)], cdc.boundaries(x), strict=False):
-            first.setdefault(x[a:b], (i, a))
-    want = {}
+        for a, b in cut(x):
+            seen.setdefault(x[a:b], (i, a))
     for i, t in docs:
         x = (t or "").encode()
-        keep = [x[a:b] for a, b in zip([0, *cdc.boundaries(x)], cdc.boundaries(x), strict=False) if first[x[a:b]] == (i, a)]
-        want[i] = (len(x), len(x) - sum(map(len, keep)), b"".join(keep))
+        out, hold = b"", b""
+        for a, b in [*cut(x), (len(x), len(x))]:
+            if a < b and seen[x[a:b]] != (i, a):
+                hold += x[a:b]
+            else:
+                out += (hold if len(hold) < cdc.STRETCH else b"") + x[a:b]
+                hold = b""
+        want[i] = (len(x), len(x) - len(out), out)
+    return want
+
+
+def test_chunk_dedup(spark):
+    r = random.Random(7)
+    text = lambda n: "".join(r.choice("abcdé ") for _ in range(n))
+    shared, phrase = text(500), text(70)
+    docs = [(k, text(300) + (shared if k % 3 == 0 else phrase) + text(100)) for k in range(30)] + [(99, None), (98, ""), (97, shared * 3), (96, shared[:100]), (200, "long " + text(200_000))]
+    want = dedup_by_hand(docs)
     out = cdc.dedup_chunks(spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, kept int").repartition(3))
     assert {r.doc_id: (r.n_bytes, r.n_removed, bytes(r.kept)) for r in out.collect()} == want
     assert all(r.n_removed > 0 for r in out.collect() if r.doc_id % 3 == 0 and 0 < r.doc_id < 30)
+    assert all(r.n_removed == 0 for r in out.collect() if r.doc_id % 3 and r.doc_id < 30)
     assert cdc.dedup_chunks(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_chunk_dedup_of_repeated_and_null_ids(spark):
+    r = random.Random(8)
+    a, b = ("".join(r.choice("abcdefgh ") for _ in range(600)) for _ in range(2))
+    docs = [(1, a), (1, a), (1, b), (2, a + b), (None, a), (None, None)]
+    out = cdc.dedup_chunks(spark.createDataFrame(docs, "doc_id long, text string"))
+    got = sorted((x.doc_id or 0, x.n_bytes, x.n_removed > 0) for x in out.collect())
+    assert got == [(0, 0, False), (0, 600, False), (1, 600, False), (1, 600, False), (1, 600, False), (2, 1200, True)]
