@@ -1,8 +1,16 @@
 """Quality rules: line-first cleaning, in DataFrame functions only.
 
-Every line is judged by punctuation, navigation and boilerplate rules. Failing lines go; a document that loses more
-than ``max_lost`` of its characters is rejected, as is one that fails the base rules (too few words, or too many words
-in repeated five-word windows).
+Every line is judged by punctuation, navigation and boilerplate rules, which look at its shape and at fixed phrases:
+
+* symbols: three or more of ``#*$%&<>`` (or of ``!``) that are over an eighth of its characters;
+* separators: items between ``| · • » ›`` or lone ``>``, of three words or fewer on average (a leading bullet is none);
+* titles: four words or more, four in five of them capitalised, and no mark of a sentence at the end;
+* openings: two to six words without such a mark, and four lines of the document begin with the same two words;
+* stutter: a third of its four or more words repeat the word before;
+* boilerplate: phrases of licences, rights, cookies and sign-ups in four languages, and dated copyright lines.
+
+Failing lines go; a document that loses more than ``max_lost`` of its characters is rejected, as is one that fails the
+base rules (too few words, or too many words in repeated five-word windows).
 
 Nulls and empty texts have no words: all counts are 0 and they are rejected. Repeated rows are judged alike, each on
 its own. Very long texts are judged whole, in one row. An empty table gives an empty result. Other columns pass through
@@ -16,12 +24,18 @@ from pyspark.sql import functions as F
 
 from .common import WHITE_CLASS, let, words_of
 
-#: Openings and phrases of boilerplate lines, in lower case.
+#: Phrases of boilerplate lines, in lower case.
 BOILERPLATE = (
     "all rights reserved", "licensed under", "terms of use", "terms of service", "privacy policy", "cookie policy",
     "uses cookies", "use of cookies", "enable javascript", "javascript is disabled", "lorem ipsum", "subscribe to our",
     "sign up for", "click here", "skip to content", "powered by",
+    "alle rechte vorbehalten", "lizenziert unter", "nutzungsbedingungen", "verwendet cookies", "verwendung von cookies", "newsletter abonnieren", "hier klicken", "zum inhalt springen",
+    "tous droits réservés", "sous licence", "conditions d'utilisation", "politique de confidentialité", "utilise des cookies", "cliquez ici", "aller au contenu",
+    "todos los derechos reservados", "bajo la licencia", "condiciones de uso", "política de privacidad", "utiliza cookies", "uso de cookies", "haga clic aquí", "ir al contenido",
 )
+COPYRIGHT = r"^[^a-z0-9]*(?:copyright|©|\(c\)).*(?:19|20)[0-9][0-9]"
+SEPARATORS = "|·•»›"
+END_MARK = r"[.!?…:;,。！？)\]\"'”’»][ \x09-\x0D]*$"
 SYMBOLS = "#*$%&|<>"
 OUTPUTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_share", "clean_text")
 
@@ -33,10 +47,49 @@ def count_of(line: Column, chars: str) -> Column:
 
 def line_fails(line: Column) -> Column:
     """Whether a line is navigation, boilerplate, or mostly punctuation."""
-    symbols = (8 * count_of(line, "#*$%&<>") > F.length(line)) | (8 * count_of(line, "!") > F.length(line))
-    navigation = line.rlike(r"^(?:[^|]{0,40}\|){3}")
-    boilerplate = line.rlike("(?i)" + "|".join(BOILERPLATE))
-    return (line.rlike("[#*$%&<>!]{2}") & symbols) | (line.contains("|") & navigation) | boilerplate
+    symbols, shouts = count_of(line, "#*$%&<>"), count_of(line, "!")
+    dense = lambda n: (n >= 3) & (8 * n > F.length(line))
+    low = F.lower(line)
+    boilerplate = low.rlike("|".join(BOILERPLATE)) | low.rlike(COPYRIGHT)
+    return dense(symbols) | dense(shouts) | boilerplate | separated(line) | let(words_of(line), lambda w: titled(line, w) | stutters(w))
+
+
+def separated(line: Column) -> Column:
+    """Short items between separators."""
+    bare = F.regexp_replace(line, f"^[ \\x09-\\x0D>{SEPARATORS}]+", "")
+    bare = F.regexp_replace(bare, r"[ \x09-\x0D]>(?=[ \x09-\x0D])", " |")
+    marks = count_of(bare, SEPARATORS)
+    words = F.size(words_of(F.translate(bare, SEPARATORS, " " * len(SEPARATORS))))
+    return F.when(bare.rlike(f"[{SEPARATORS}]"), words <= 3 * (marks + 1)).otherwise(F.lit(False))
+
+
+def titled(line: Column, words: Column) -> Column:
+    """A line of titles: capitalised words and no end of a sentence."""
+    capitals = F.size(F.filter(words, lambda w: w.rlike(r"^\p{Lu}")))
+    return (F.size(words) >= 4) & ~line.rlike(END_MARK) & (5 * capitals >= 4 * F.size(words))
+
+
+def stutters(words: Column) -> Column:
+    """A third of the words repeat the one before."""
+    again = F.filter(words, lambda w, i: (i > 0) & (w == F.get(words, i - 1)))
+    return (F.size(words) >= 4) & (3 * F.size(again) >= F.size(words))
+
+
+def without_openings(lines: Column) -> Column:
+    """The lines but for short unfinished ones of which four or more begin with the same two words."""
+
+    def opening(line: Column) -> Column:
+        of = lambda w: F.when(F.size(w).between(2, 6) & ~line.rlike(END_MARK), F.concat(w[0], F.lit(" "), w[1]))
+        return let(words_of(line), of)
+
+    def rest(pairs: Column) -> Column:
+        near = lambda j, a: F.get(pairs, j + a)["o"]
+        four = lambda p, j: F.coalesce(near(j, -3) == p["o"], F.lit(False)) | F.coalesce(near(j, -2) == near(j, 1), F.lit(False)) | F.coalesce(near(j, -1) == near(j, 2), F.lit(False)) | F.coalesce(near(j, 3) == p["o"], F.lit(False))
+        bad = F.transform(F.filter(pairs, four), lambda p: p["i"])
+        return F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), bad), lambda i: F.get(lines, i))
+
+    pairs = F.filter(F.transform(lines, lambda x, i: F.struct(opening(x).alias("o"), i.alias("i"))), lambda p: p["o"].isNotNull())
+    return F.when(F.size(lines) < 4, lines).otherwise(let(F.sort_array(pairs), lambda p: F.when(F.size(p) < 4, lines).otherwise(rest(p))))
 
 
 def repeat_words(words: Column) -> Column:
@@ -72,7 +125,7 @@ def apply_quality_rules(df: DataFrame, text: str = "text", max_lost: float = 0.3
     body = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(WHITE_CLASS.replace("[", "[^")))
     df = df.withColumn("__words", words_of(F.col(text))).withColumn("__lines", lines)
-    df = df.withColumn("__good", F.filter("__lines", lambda x: ~line_fails(x)))
+    df = df.withColumn("__good", F.filter(without_openings(F.col("__lines")), lambda x: ~line_fails(x)))
     size = lambda c: F.length(F.array_join(c, ""))
     df = df.withColumns({
         "n_words": F.size("__words").cast("long"),

@@ -56,12 +56,22 @@ WITH w AS (
 win AS (SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)),
 rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM win) WHERE n > 1),
 cov AS (SELECT doc_id, sum(least(5, coalesce(nxt - i, 5))) AS n FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM rep) GROUP BY doc_id),
+lw AS (
+  SELECT doc_id, ls, list_transform(ls, lambda x: list_filter(regexp_split_to_array(x, '[ \x09-\x0D]+'), lambda y: y <> '')) AS ws,
+         list_transform(ls, lambda x: regexp_replace(regexp_replace(x, '^[ \x09-\x0D>|·•»›]+', ''), '[ \x09-\x0D]>([ \x09-\x0D])', ' |\1', 'g')) AS bare,
+         list_transform(ls, lambda x: regexp_matches(x, '[.!?…:;,。！？)\]"''”’»][ \x09-\x0D]*$')) AS ended FROM w),
+op AS (SELECT *, list_transform(range(1, len(ls) + 1), lambda k: CASE WHEN len(ws[k]) BETWEEN 2 AND 6 AND NOT ended[k] THEN ws[k][1] || ' ' || ws[k][2] END) AS ops FROM lw),
 good AS (
-  SELECT doc_id, list_filter(ls, lambda x: NOT (
-      (regexp_matches(x, '[#*$%&<>!]{2}') AND (8 * length(regexp_replace(x, '[^#*$%&<>]+', '', 'g')) > length(x) OR 8 * length(regexp_replace(x, '[^!]+', '', 'g')) > length(x)))
-      OR regexp_matches(x, '^(?:[^|]{0,40}\|){3}')
-      OR regexp_matches(lower(x), 'all rights reserved|licensed under|terms of use|terms of service|privacy policy|cookie policy|uses cookies|use of cookies|enable javascript|javascript is disabled|lorem ipsum|subscribe to our|sign up for|click here|skip to content|powered by'))) AS gs
-  FROM w),
+  SELECT doc_id, list_transform(list_filter(range(1, len(ls) + 1), lambda k: NOT (
+      (length(regexp_replace(ls[k], '[^#*$%&<>]+', '', 'g')) >= 3 AND 8 * length(regexp_replace(ls[k], '[^#*$%&<>]+', '', 'g')) > length(ls[k]))
+      OR (length(regexp_replace(ls[k], '[^!]+', '', 'g')) >= 3 AND 8 * length(regexp_replace(ls[k], '[^!]+', '', 'g')) > length(ls[k]))
+      OR (regexp_matches(bare[k], '[|·•»›]') AND len(list_filter(regexp_split_to_array(translate(bare[k], '|·•»›', '     '), '[ \x09-\x0D]+'), lambda y: y <> '')) <= 3 * (length(regexp_replace(bare[k], '[^|·•»›]+', '', 'g')) + 1))
+      OR (len(ws[k]) >= 4 AND NOT ended[k] AND 5 * len(list_filter(ws[k], lambda y: regexp_matches(y, '^\p{Lu}'))) >= 4 * len(ws[k]))
+      OR (len(ws[k]) >= 4 AND 3 * len(list_filter(range(2, len(ws[k]) + 1), lambda j: ws[k][j] = ws[k][j - 1])) >= len(ws[k]))
+      OR (ops[k] IS NOT NULL AND len(list_filter(ops, lambda y: y = ops[k])) >= 4)
+      OR regexp_matches(lower(ls[k]), '^[^a-z0-9]*(?:copyright|©|\(c\)).*(?:19|20)[0-9][0-9]')
+      OR regexp_matches(lower(ls[k]), 'all rights reserved|licensed under|terms of use|terms of service|privacy policy|cookie policy|uses cookies|use of cookies|enable javascript|javascript is disabled|lorem ipsum|subscribe to our|sign up for|click here|skip to content|powered by|alle rechte vorbehalten|lizenziert unter|nutzungsbedingungen|verwendet cookies|verwendung von cookies|newsletter abonnieren|hier klicken|zum inhalt springen|tous droits réservés|sous licence|conditions d''utilisation|politique de confidentialité|utilise des cookies|cliquez ici|aller au contenu|todos los derechos reservados|bajo la licencia|condiciones de uso|política de privacidad|utiliza cookies|uso de cookies|haga clic aquí|ir al contenido'))), lambda k: ls[k]) AS gs
+  FROM op),
 b AS (
   SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
          length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,

@@ -131,3 +131,33 @@ def test_quality_verdicts(spark):
     docs = [(prose, True), (f"{prose}\n{nav}\n{prose[::-1]}", True), (f"{prose}\n{nav}\n{symbols}\n{symbols[::-1]}", False), (shout, False), (symbols, False), (f"{prose}\nAll rights reserved.", True)]
     got = {x.text: x.kept for x in qr.apply_quality_rules(spark.createDataFrame([(d[0],) for d in docs], "text string")).collect()}
     assert got == dict(docs)
+
+
+LINES = [
+    ("w0 # w1 # w2 # w3 # w4 # w5 # w6 # w7 #", True), ("C# and F# are languages of one platform, and both run on it.", False), ("100 %", False),
+    ("Home · About · Contact · Jobs", True), ("Home > News > World > Europe", True), ("The. | Andreshhetion | itthesnt.", True), ("Home|About", True),
+    ("• The first point of the list, which goes on for a while.", False), ("The tide came in over the flats | and the boats that had lain on their sides began to lift.", False), ("a > b and b > c, so that a > c holds for all of the numbers here.", False),
+    ("Home About Contact Jobs Press Terms", True), ("The Tide Came In Over The Flats.", False), ("the tide came In over The flats", False), ("Erste Zweite", False),
+    ("This This This thhant thhant thhant ininti ininti", True), ("that that is is", True), ("he had had a bad day at the work", False),
+    ("© 2019 Example Ltd", True), ("Copyright (c) 2001 by nobody", True), ("The copyright of 1999 was hers.", False), ("Alle Rechte vorbehalten.", True), ("Politique de confidentialité", True), ("", False), ("ééé", False),
+]
+
+
+def test_line_rules(spark):
+    df = spark.createDataFrame([(k, x) for k, (x, _) in enumerate(LINES)], "k int, line string")
+    got = {r.k: r.bad for r in df.select("k", qr.line_fails(df.line).alias("bad")).collect()}
+    assert {LINES[k][0]: v for k, v in got.items()} == dict(LINES)
+
+
+def test_repeated_openings(spark):
+    r = random.Random(5)
+    texts = [["Share on Facebook", "a b.", "Share on X", "Share on mail now", "Share on", "c"], ["Share on a", "Share on b", "Share on c"], ["x y", "x y", "x y.", "x y", "x y z w v u t", "x  y"], [], ["one"] * 9]
+    texts += [[" ".join(r.choice("ab") for _ in range(r.randint(1, 7))) + r.choice(["", "", "."]) for _ in range(r.randint(0, 14))] for _ in range(60)]
+
+    def by_hand(lines):
+        of = lambda x: tuple(x.split()[:2]) if 2 <= len(x.split()) <= 6 and x[-1] != "." else None
+        return [x for x in lines if not of(x) or sum(of(y) == of(x) for y in lines) < 4]
+
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k int, lines array<string>")
+    for row in df.select("k", qr.without_openings(df.lines).alias("left")).collect():
+        assert row.left == by_hand(texts[row.k])
