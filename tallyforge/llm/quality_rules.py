@@ -19,10 +19,12 @@ its own. Very long texts are judged whole, in one row. An empty table gives an e
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE_CLASS, let, words_of
+from .common import WHITE, WHITE_CLASS, let, words_of
 
 #: Phrases of boilerplate lines, in lower case.
 BOILERPLATE = (
@@ -33,9 +35,16 @@ BOILERPLATE = (
     "tous droits réservés", "sous licence", "conditions d'utilisation", "politique de confidentialité", "utilise des cookies", "cliquez ici", "aller au contenu",
     "todos los derechos reservados", "bajo la licencia", "condiciones de uso", "política de privacidad", "utiliza cookies", "uso de cookies", "haga clic aquí", "ir al contenido",
 )
-COPYRIGHT = r"^[^a-z0-9]*(?:copyright|©|\(c\)).*(?:19|20)[0-9][0-9]"
+COPYRIGHT = r"^[^a-zA-Z0-9]*(?:[cC][oO][pP][yY][rR][iI][gG][hH][tT]|©|\([cC]\)).*(?:19|20)[0-9][0-9]"
+#: A word that follows itself.
+TWICE = r"(?:^|[ \x09-\x0D])([^ \x09-\x0D]++)[ \x09-\x0D]++\1(?![^ \x09-\x0D])"
 SEPARATORS = "|·•»›"
-END_MARK = r"[.!?…:;,。！？)\]\"'”’»][ \x09-\x0D]*$"
+END_MARKS = ".!?…:;,。！？)]\"'”’»"
+#: Pieces of the phrases: every phrase has one.
+STEMS = (
+    "cookie", "licen", "lizenz", "terms of", "privac", "javascript", "reserv", "réserv", "vorbehalten", "lorem ipsum", "subscribe to", "sign up for", "click here", "skip to c", "powered by",
+    "nutzungsbed", "newsletter ab", "hier klicken", "zum inhalt", "conditions d'", "confidentialit", "cliquez", "aller au c", "condiciones de", "haga clic", "ir al cont",
+)
 SYMBOLS = "#*$%&|<>"
 OUTPUTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_share", "clean_text")
 
@@ -45,13 +54,32 @@ def count_of(line: Column, chars: str) -> Column:
     return F.length(F.regexp_replace(line, f"[^{chars}]+", ""))
 
 
-def line_fails(line: Column) -> Column:
-    """Whether a line is navigation, boilerplate, or mostly punctuation."""
-    symbols, shouts = count_of(line, "#*$%&<>"), count_of(line, "!")
+def line_fails(line: Column, phrases: Column | None = None) -> Column:
+    """Whether a line is navigation, boilerplate, or mostly punctuation; ``phrases``: whether its document has one at all.
+
+    What a rule cannot do without is looked for first, so that few lines are counted or cut into words.
+    """
     dense = lambda n: (n >= 3) & (8 * n > F.length(line))
-    low = F.lower(line)
-    boilerplate = low.rlike("|".join(BOILERPLATE)) | low.rlike(COPYRIGHT)
-    return dense(symbols) | dense(shouts) | boilerplate | separated(line) | let(words_of(line), lambda w: titled(line, w) | stutters(w))
+    only = lambda needed, rule: F.when(needed, rule).otherwise(F.lit(False))
+    boilerplate = only(has_phrase(line) if phrases is None else phrases, F.lower(line).rlike("|".join(BOILERPLATE)))
+    return (
+        only(line.rlike("[#*$%&<>!]"), dense(count_of(line, "#*$%&<>")) | dense(count_of(line, "!")))
+        | only(line.rlike(f"[{SEPARATORS}>]"), separated(line))
+        | boilerplate
+        | line.rlike(COPYRIGHT)
+        | only(~ended(line), let(words_of(line), titled))
+        | only(line.rlike(TWICE), let(words_of(line), stutters))
+    )
+
+
+def has_phrase(text: Column) -> Column:
+    """Whether a piece of a boilerplate phrase occurs anywhere in the text."""
+    return let(F.lower(text), lambda low: reduce(lambda a, b: a | b, [low.contains(p) for p in STEMS]))
+
+
+def ended(line: Column) -> Column:
+    """Whether the line ends with the mark of a sentence or a part of one."""
+    return let(F.rtrim(line, F.lit(WHITE)), lambda x: reduce(lambda a, b: a | b, [x.endswith(m) for m in END_MARKS]))
 
 
 def separated(line: Column) -> Column:
@@ -63,10 +91,10 @@ def separated(line: Column) -> Column:
     return F.when(bare.rlike(f"[{SEPARATORS}]"), words <= 3 * (marks + 1)).otherwise(F.lit(False))
 
 
-def titled(line: Column, words: Column) -> Column:
-    """A line of titles: capitalised words and no end of a sentence."""
+def titled(words: Column) -> Column:
+    """Capitalised words."""
     capitals = F.size(F.filter(words, lambda w: w.rlike(r"^\p{Lu}")))
-    return (F.size(words) >= 4) & ~line.rlike(END_MARK) & (5 * capitals >= 4 * F.size(words))
+    return (F.size(words) >= 4) & (5 * capitals >= 4 * F.size(words))
 
 
 def stutters(words: Column) -> Column:
@@ -79,8 +107,8 @@ def without_openings(lines: Column) -> Column:
     """The lines but for short unfinished ones of which four or more begin with the same two words."""
 
     def opening(line: Column) -> Column:
-        of = lambda w: F.when(F.size(w).between(2, 6) & ~line.rlike(END_MARK), F.concat(w[0], F.lit(" "), w[1]))
-        return let(words_of(line), of)
+        of = lambda w: F.when(F.size(w).between(2, 6), F.concat(w[0], F.lit(" "), w[1]))
+        return F.when(~ended(line), let(words_of(line), of))
 
     def rest(pairs: Column) -> Column:
         near = lambda j, a: F.get(pairs, j + a)["o"]
@@ -125,7 +153,7 @@ def apply_quality_rules(df: DataFrame, text: str = "text", max_lost: float = 0.3
     body = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(WHITE_CLASS.replace("[", "[^")))
     df = df.withColumn("__words", words_of(F.col(text))).withColumn("__lines", lines)
-    df = df.withColumn("__good", F.filter(without_openings(F.col("__lines")), lambda x: ~line_fails(x)))
+    df = df.withColumn("__phrases", has_phrase(body)).withColumn("__good", F.filter(without_openings(F.col("__lines")), lambda x: ~line_fails(x, F.col("__phrases"))))
     size = lambda c: F.length(F.array_join(c, ""))
     df = df.withColumns({
         "n_words": F.size("__words").cast("long"),
@@ -138,4 +166,4 @@ def apply_quality_rules(df: DataFrame, text: str = "text", max_lost: float = 0.3
     })
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     df = df.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("lost_share") <= max_lost))
-    return df.drop("__words", "__lines", "__good")
+    return df.drop("__words", "__lines", "__good", "__phrases")

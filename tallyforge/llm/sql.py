@@ -69,7 +69,7 @@ good AS (
       OR (len(ws[k]) >= 4 AND NOT ended[k] AND 5 * len(list_filter(ws[k], lambda y: regexp_matches(y, '^\p{Lu}'))) >= 4 * len(ws[k]))
       OR (len(ws[k]) >= 4 AND 3 * len(list_filter(range(2, len(ws[k]) + 1), lambda j: ws[k][j] = ws[k][j - 1])) >= len(ws[k]))
       OR (ops[k] IS NOT NULL AND len(list_filter(ops, lambda y: y = ops[k])) >= 4)
-      OR regexp_matches(lower(ls[k]), '^[^a-z0-9]*(?:copyright|©|\(c\)).*(?:19|20)[0-9][0-9]')
+      OR regexp_matches(ls[k], '^[^a-zA-Z0-9]*(?:[cC][oO][pP][yY][rR][iI][gG][hH][tT]|©|\([cC]\)).*(?:19|20)[0-9][0-9]')
       OR regexp_matches(lower(ls[k]), 'all rights reserved|licensed under|terms of use|terms of service|privacy policy|cookie policy|uses cookies|use of cookies|enable javascript|javascript is disabled|lorem ipsum|subscribe to our|sign up for|click here|skip to content|powered by|alle rechte vorbehalten|lizenziert unter|nutzungsbedingungen|verwendet cookies|verwendung von cookies|newsletter abonnieren|hier klicken|zum inhalt springen|tous droits réservés|sous licence|conditions d''utilisation|politique de confidentialité|utilise des cookies|cliquez ici|aller au contenu|todos los derechos reservados|bajo la licencia|condiciones de uso|política de privacidad|utiliza cookies|uso de cookies|haga clic aquí|ir al contenido'))), lambda k: ls[k]) AS gs
   FROM op),
 b AS (

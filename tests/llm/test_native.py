@@ -149,6 +149,10 @@ def test_line_rules(spark):
     assert {LINES[k][0]: v for k, v in got.items()} == dict(LINES)
 
 
+def test_phrases_have_stems():
+    assert all(any(s in p for s in qr.STEMS) for p in qr.BOILERPLATE)
+
+
 def test_repeated_openings(spark):
     r = random.Random(5)
     texts = [["Share on Facebook", "a b.", "Share on X", "Share on mail now", "Share on", "c"], ["Share on a", "Share on b", "Share on c"], ["x y", "x y", "x y.", "x y", "x y z w v u t", "x  y"], [], ["one"] * 9]
