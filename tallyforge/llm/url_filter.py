@@ -1,11 +1,11 @@
 """URL filters: longest-match host/path rules, then a logistic regression on hashed character n-grams.
 
-``fit_url_model`` trains on a small labelled URL table (columns url, label 0/1); ``max_train`` bounds the rows it takes,
-the ones with the smallest URL hash. ``apply_url_filter`` gives every row host, path, rule, score and verdict. All of it
+``fit_url_model`` trains on a small labelled URL table (columns url, label 0/1), such as ``url_labels.labelled_urls``;
+``max_train`` bounds the rows it takes, the ones with the smallest URL hash. ``apply_url_filter`` gives every row host, path, rule, score and verdict. All of it
 is DataFrame functions and Spark ML's JVM transformers; the html of a page is never read.
 
 A null url or one without ``://`` has an empty host and path and no rule; the model then judges the empty n-grams.
-Repeated rows are judged alike. Texts of any length are judged whole. With no labels, or one class only, the verdict
+Repeated rows are judged alike, each on its own. Texts of any length are judged whole. With no labels, or one class only, the verdict
 without a rule is the labels' majority (allow if there are none). Empty tables give empty results; columns named like
 an output are replaced, others pass through.
 """
@@ -68,7 +68,7 @@ def with_features(df: DataFrame, url: str) -> DataFrame:
     return df.withColumns({"host": host, "path": path}).withColumn("__grams", features(F.col("host"), F.col("path")))
 
 
-def fit_url_model(labelled: DataFrame, url: str = "url", label: str = "label", bins: int = 4096, max_train: int = 4000, reg: float = 1e-3, iterations: int = 40) -> UrlModel:
+def fit_url_model(labelled: DataFrame, url: str = "url", label: str = "label", bins: int = 1 << 16, max_train: int = 4000, reg: float = 0.1, iterations: int = 40) -> UrlModel:
     """Train on at most ``max_train`` rows with a url and a label; label 1 means block."""
     rows = labelled.where(F.col(url).isNotNull() & F.col(label).isNotNull()).select(F.col(url).alias("url"), F.col(label).cast("double").alias("label"))
     rows = rows.orderBy(F.xxhash64("url"), "url", "label").limit(max_train)
@@ -90,10 +90,3 @@ def apply_url_filter(df: DataFrame, model: UrlModel, url: str = "url", rules: Se
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     judged = F.when(F.col("score") >= threshold, "block").otherwise("allow")
     return df.withColumns({"rule": rule, "verdict": F.coalesce(verdict, judged)}).drop("__grams", "__tf", "__raw", "__p", "__class")
-
-
-def labels_from_rules(df: DataFrame, url: str = "url", rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
-    """A labelled URL table of the rows that the rules decide."""
-    host, path = host_path(F.col(url))
-    verdict = rule_of(host, path, rules)[1]
-    return df.select(F.col(url).alias("url"), F.when(verdict == "block", 1).when(verdict == "allow", 0).alias("label")).where("label is not null")

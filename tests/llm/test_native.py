@@ -1,14 +1,17 @@
 """URL filters, decontamination and quality rules against brute force."""
 
 import hashlib
+import math
 import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyforge.llm import decontaminate as dc
 from tallyforge.llm import quality_rules as qr
 from tallyforge.llm import url_filter as uf
+from tallyforge.llm.url_labels import labelled_urls
 
 
 def rule_by_hand(url):
@@ -43,6 +46,32 @@ def test_url_rules_and_model(spark):
     assert sum((x.verdict == "block") == bool(x.label) for x in got) >= 57
 
 
+def test_held_out_accuracy_of_the_labelled_urls(spark):
+    rows = labelled_urls(spark).withColumn("part", F.pmod(F.xxhash64("url"), F.lit(5)))
+    right = total = 0
+    for k in range(5):
+        model = uf.fit_url_model(rows.where(f"part <> {k}"))
+        got = uf.apply_url_filter(rows.where(f"part = {k}"), model).collect()
+        right += sum((x.score >= 0.5) == bool(x.label) for x in got)
+        total += len(got)
+    assert total == 188 and right / total >= 0.85, right / total
+
+
+def test_url_score_by_hand(spark):
+    """The score is the logistic function of the weights of the hashed n-grams of host and path."""
+    model = uf.fit_url_model(labelled_urls(spark))
+    tf, lr = model.pipeline.stages
+    for x in uf.apply_url_filter(spark.createDataFrame([(u,) for u in URLS + ["http://a.b/c", "http://a.b/c"]], "url string"), model).collect():
+        host, path, *_ = rule_by_hand(x.url)
+        grams = set()
+        for mark, part in (("h", host), ("p", path)):
+            for n in (3, 4):
+                t = f"^{part}$"
+                grams |= {f"{mark}{n}:{t[k : k + n]}" for k in range(max(len(t) - n + 1, 1))} if part else set()
+        at = {tf.indexOf(g) for g in grams}
+        assert abs(x.score - 1 / (1 + math.exp(-lr.intercept - sum(lr.coefficients[k] for k in at)))) < 1e-9
+
+
 def test_url_without_labels(spark):
     none = spark.createDataFrame([], "url string, label int")
     assert uf.fit_url_model(none).constant == "allow"
