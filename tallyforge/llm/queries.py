@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 from .sql import SQL  # noqa: F401
 
 
@@ -23,10 +23,11 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .url_filter import apply_url_filter, fit_url_model, labels_from_rules
+    from .url_filter import apply_url_filter, fit_url_model
+    from .url_labels import labelled_urls
 
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return apply_url_filter(pages, fit_url_model(labels_from_rules(pages))).select("page_id", "host", "path", "rule", "verdict", "score")
+    return apply_url_filter(pages, fit_url_model(labelled_urls(spark))).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +78,7 @@ def op9_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     lost = F.substring(F.md5(F.col("page_id").cast("string")), 1, 2).isin("07", "2a", "a3", "c5", "e1")
     damaged = pages.withColumn("html", F.when(lost, F.concat(F.lit("~"), F.expr("substring(html, 2)"))).otherwise(F.col("html")))
-    here, there = warc_records(pages), warc_records(damaged)
+    here, there = stored(warc_records(pages), "records"), warc_records(damaged)
     bad = audit(here, there).withColumn("damaged", F.lit(True))
     out = here.join(bad, ["file", "seq"], "left").withColumn("intact", F.col("damaged").isNull())
     return out.select("page_id", "file", "seq", "offset", "length", "sha256", "intact")

@@ -1,5 +1,6 @@
 """BPE, HTML extraction, WARC audit and chunk dedup."""
 
+import gzip
 import hashlib
 import random
 
@@ -9,6 +10,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from public_tokenizers import PATTERN, path
+from pyspark.sql import functions as F
 
 from tallyforge.llm import bpe, cdc, warc
 from tallyforge.llm.html_extract import extract_html, main_text
@@ -98,15 +100,45 @@ def test_warc_audit(spark):
         one = f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:{r.page_id}>\r\nWARC-Target-URI: http://x/{r.page_id}\r\nContent-Type: text/html\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
         assert (r.offset, r.length, r.sha256) == (len(data), len(one), hashlib.sha256(one).hexdigest())
         data += one
-    assert [(a, n) for a, n, _, _ in warc.parse_warc(data)] == [(r.offset, r.length) for r in sorted((r for r in here.collect() if r.file == 0), key=lambda r: r.seq)]
+    assert [(a, n) for a, n, *_ in warc.parse_warc(data)] == [(r.offset, r.length) for r in sorted((r for r in here.collect() if r.file == 0), key=lambda r: r.seq)]
     assert warc.audit(here.where("false"), here.where("false")).count() == 0
     assert warc.audit(here.where("file = 1"), here.where("false")).count() == 256
 
 
 def test_read_warc(spark, tmp_path):
-    (tmp_path / "a.warc").write_bytes(b"WARC/1.1\r\nWARC-Target-URI: http://u\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n" * 2)
-    rows = warc.read_warc(spark, f"file://{tmp_path}").orderBy("seq").collect()
-    assert [(r.seq, bytes(r.payload), r.url) for r in rows] == [(0, b"abc", "http://u"), (1, b"abc", "http://u")]
+    one = b"WARC/1.1\r\nWARC-Target-URI: http://u\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    (tmp_path / "a.warc").write_bytes(one * 2 + b"WARC/1.1\r\nContent-Length: 99\r\n\r\ncut")
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(one) * 2)
+    for stream in (True, False):
+        rows = warc.read_warc(spark, f"file://{tmp_path}", stream).orderBy("file", "seq").collect()
+        assert [(r.seq, r.offset, r.length, bytes(r.payload), r.url, r.sha256) for r in rows] == [(k, k * len(one), len(one), b"abc", "http://u", hashlib.sha256(one).hexdigest()) for k in (0, 1)] * 2
+
+
+def test_warc_records_of_repeated_negative_and_null_keys(spark):
+    rows = [(None, f"x{k % 30}") for k in range(60)] + [(7, "same")] * 20 + [(7, f"other {k}") for k in range(40)] + [(-1, "a"), (-256, "b"), (-257, "c"), (8, None)]
+    df = spark.createDataFrame([(k, "u", t) for k, t in rows], "page_id long, url string, html string")
+    got = warc.warc_records(df).collect()
+    assert len(got) == len(rows) and {r.file for r in got if r.page_id is None} == {-1}
+    assert {r.page_id: r.file for r in got if r.page_id is not None} == {7: 0, 8: 0, -1: -2, -256: -2, -257: -3}
+    for file in {r.file for r in got}:
+        own = sorted((r for r in got if r.file == file), key=lambda r: r.seq)
+        assert [r.seq for r in own] == list(range(len(own)))
+        assert [r.offset for r in own] == [sum(r.length for r in own[:k]) for k in range(len(own))]
+        assert [r.page_id for r in own] == sorted((r.page_id for r in own), key=lambda k: k or 0)
+    assert warc.audit(warc.warc_records(df), warc.warc_records(df.repartition(5))).count() == 0
+    other = df.withColumn("html", F.when(F.col("page_id") == -257, "d").otherwise(F.col("html")))
+    assert [(r.file, r.seq) for r in warc.audit(warc.warc_records(df), warc.warc_records(other)).collect()] == [(-3, 0)]
+
+
+def test_one_root_covers_all_files(spark):
+    rows = spark.range(0, 5000, 7).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.col("id").cast("string").alias("html"))
+    other = rows.withColumn("html", F.when(F.col("page_id") == 4998, "x").otherwise(F.col("html")))
+    levels = warc.merkle_levels([warc.warc_records(rows, per_file=64), warc.warc_records(other, per_file=64)], fanout=4)
+    sizes = [(n := x.groupBy("side").count().collect()) and [r["count"] for r in n] for x, *_ in levels]
+    assert sizes[0] == [715, 715] and sizes[-1] == [1, 1] and all(a[0] >= b[0] for a, b in zip(sizes, sizes[1:], strict=False))
+    top = {r.side: bytes(r.digest) for r in levels[-1][0].collect()}
+    assert top[0] != top[1]
+    assert len([r for x, *_ in levels for r in x.groupBy("file", "node").agg(F.count_distinct("digest").alias("n")).where("n > 1").collect()]) == len(levels)
 
 
 def chunks_by_hand(x):
