@@ -2,15 +2,18 @@
 
 P(word | context) = P(class | context) * P(word | class). The class of a word follows from a subword id: the longest
 vocabulary entry that starts the word; frequent ids have a class of their own, the rest share hashed ones. The attention
-model gives the first factor, the counts of all training texts the second, with one unknown word a class.
+model gives the first factor, the counts of all training texts the second: each known word's count less a discount d, where
+d = (n1 + 1) / (n1 + 2 n2 + 2) from the class's words of count one and two; what is taken off goes to as many unknown
+words as the class has known ones, d each.
 
 1. The subword ids of all training texts are counted (a row an id, 50,000 at most) and the most frequent get the own classes. A
    sample of pieces of training texts, long ones included, trains the model's start on the driver: about ``sample_docs`` pieces
-   of ``PIECE`` characters at most, growing with the root of the input up to ``SAMPLE_BYTES``.
-2. Texts are dealt into blocks of about ``BLOCK_BYTES``. Each block counts its distinct words and goes on training on
-   every chunk of its training texts, once, so counts and training follow the input.
-3. Counts meet by ranges of 64-bit word hashes (0.0003 expected collisions among 10^8 distinct words); every block gets back the counts and classes of its own words, 5 bytes a
-   word. Models are averaged by their training tokens, in up to 64 partial sums.
+   of ``PIECE`` characters at most, growing with the fourth root of the input (31 times as many for 100 TB as for 0.1 GB).
+2. Texts are dealt into blocks of about ``BLOCK_BYTES``; a task reads its blocks one after the other. Each block counts its
+   distinct words and goes on training on every chunk of its training texts, once, so counts and training follow the input.
+3. Counts meet by ranges of 64-bit word hashes (0.0003 expected collisions among 10^8 distinct words), one range at a time;
+   every block gets back the counts and classes of its own words, 5 bytes a word. Models are averaged by their training
+   tokens, in up to 64 partial sums.
 4. Each block scores its texts in overlapping windows.
 
 Null and empty texts have one token, the end. A null id is training data. Rows that share an id are scored one by one.
@@ -35,8 +38,9 @@ from . import attention as at
 from .common import shared_dir, stored
 from .shingles import U, word_hashes
 
-BLOCK_BYTES, BATCH = 12 << 20, 128
-SAMPLE_DOCS, SAMPLE_OF, PIECE, SAMPLE_BYTES = 600, 100 << 20, 20_000, 32 << 20
+BLOCK_BYTES, BATCH, MOST_TASKS = 12 << 20, 128, 100_000
+SAMPLE_DOCS, SAMPLE_OF, PIECE = 600, 100 << 20, 20_000
+STATS = 4  # by class: tokens, known words, words of count one and two
 OWN, HASHED = 95, 32
 CLASSES = 1 + OWN + HASHED
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -166,14 +170,16 @@ def fit_classes(texts: DataFrame, path: str) -> dict[int, int]:
 
 
 def sample_pieces(docs: DataFrame, sample_docs: int, size: int, pieces: int) -> list[bytes]:
-    """Pieces of the texts, chosen by hash, each as likely as any other."""
-    wanted = sample_docs * max(size / SAMPLE_OF, 1) ** 0.5
-    wanted = max(min(wanted, SAMPLE_BYTES * pieces / max(size, 1)), 1)
+    """Pieces of the texts, chosen by hash, each as likely as any other.
+
+    The least hashes are taken, in their order: twice as many as wanted at most, where rows repeat an id and a length.
+    """
+    wanted = sample_docs * max(size / SAMPLE_OF, 1) ** 0.25
     one_in = max(int(-(-pieces // wanted)), 1)
-    mine = F.filter(F.sequence(F.lit(0), pieces_of("__t") - 1), lambda k: F.pmod(F.xxhash64("id", F.octet_length("__t"), k), F.lit(one_in)) == 0)
-    cut = docs.where(pieces_of("__t") > 0).select("id", F.explode(F.transform(mine, lambda k: F.substr("__t", k * PIECE + 1, F.lit(PIECE)))).alias("__t"))
-    rows = cut.limit(int(2 * wanted) + 1).collect()
-    return [r["__t"].encode() for r in sorted(rows, key=lambda r: (str(r["id"]), r["__t"]))]
+    hashed = F.transform(F.sequence(F.lit(0), pieces_of("__t") - 1), lambda k: F.struct(F.xxhash64("id", F.octet_length("__t"), k).alias("h"), k.alias("k")))
+    mine = F.filter(hashed, lambda x: F.pmod(x["h"], F.lit(one_in)) == 0)
+    cut = docs.where(pieces_of("__t") > 0).select(F.explode(F.transform(mine, lambda x: F.struct(x["h"].alias("h"), F.substr("__t", x["k"] * PIECE + 1, F.lit(PIECE)).alias("t")))).alias("x"))
+    return [r.t.encode() for r in cut.select("x.h", "x.t").orderBy("h", "t").limit(int(2 * wanted) + 1).collect()]
 
 
 def pieces_of(text: str) -> Column:
@@ -192,9 +198,21 @@ def fit_start(texts: list[bytes], path: str, own: dict[int, int], steps: int) ->
     return at.train(start, inputs, targets, first, used.reshape(targets.shape), max(steps, -(-len(inputs) // BATCH)), 0.02, BATCH)
 
 
-def table_of(batches: list[pa.RecordBatch]) -> pa.Table | None:
-    batches = [b for b in batches if b.num_rows]
-    return pa.Table.from_batches(batches) if batches else None
+def by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, pa.Table]]:
+    """The rows of each key, one key at a time; the batches are sorted by it."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        keys = batch.column(batch.schema.get_field_index(key)).to_numpy()
+        edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)] if len(keys) else []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if held and keys[a] != last:
+                yield last, pa.Table.from_batches(held)
+                held = []
+            last = int(keys[a])
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield last, pa.Table.from_batches(held)
 
 
 def count_words(path: str, own: dict[int, int], start: dict[str, np.ndarray], buckets: int):
@@ -218,14 +236,9 @@ def count_words(path: str, own: dict[int, int], start: dict[str, np.ndarray], bu
             yield -1 - block % 64, block, np.int64(len(flat)).tobytes() + at.pack(got)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = table_of(list(batches))
-        if rows is None:
-            return
-        block, train = rows.column("block").to_numpy(), ~rows.column("held").to_numpy(zero_copy_only=False).astype(bool)
-        for b in np.unique(block).tolist():
-            here = np.flatnonzero(block == b)
-            texts = [x or b"" for x in rows.column("__t").take(pa.array(here)).cast(pa.binary()).to_pylist()]
-            out = list(block_rows(b, texts, train[here]))
+        for b, rows in by_key(batches, "block"):
+            texts = [x or b"" for x in rows.column("__t").cast(pa.binary()).to_pylist()]
+            out = list(block_rows(b, texts, ~rows.column("held").to_numpy().astype(bool)))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.binary())], names=["bucket", "block", "data"])
 
     return run
@@ -233,24 +246,17 @@ def count_words(path: str, own: dict[int, int], start: dict[str, np.ndarray], bu
 
 def add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """By bucket: each block's counts (summed over all blocks) and classes back, and totals by class; models summed, weighted by their tokens."""
-    held: dict[int, list[tuple[int, bytes]]] = {}
-    models: dict[int, tuple[np.ndarray, int]] = {}
-    for batch in batches:
-        for bucket, block, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if bucket < 0:
-                total, n = models.get(bucket, (0.0, 0))
-                tokens = int(np.frombuffer(data[:8], np.int64)[0])
-                models[bucket] = (total + tokens * np.frombuffer(data[8:], np.float32).astype(np.float64), n + tokens)
-            else:
-                held.setdefault(bucket, []).append((block, data))
 
     def row(*x) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(x, (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["block", "bucket", "n", "data"])
 
-    for bucket, (total, n) in models.items():
-        yield row(-2, bucket, n, total.tobytes())
-    for bucket in sorted(held):
-        parts = sorted(held.pop(bucket))
+    for bucket, rows in by_key(batches, "bucket"):
+        parts = sorted(zip(rows.column("block").to_pylist(), rows.column("data").to_pylist(), strict=True))
+        if bucket < 0:
+            tokens = [int(np.frombuffer(d[:8], np.int64)[0]) for _, d in parts]
+            total = sum(n * np.frombuffer(d[8:], np.float32).astype(np.float64) for n, (_, d) in zip(tokens, parts, strict=True))
+            yield row(-2, bucket, sum(tokens), total.tobytes())
+            continue
         sizes = [len(d) // 17 for _, d in parts]
         cut = lambda a, b, t: np.concatenate([np.frombuffer(d[a * n : b * n], t) for (_, d), n in zip(parts, sizes, strict=True)])  # noqa: E731, B023
         h1, n, kind = cut(0, 8, np.uint64), cut(8, 16, np.uint64), cut(16, 17, np.uint8)
@@ -261,8 +267,8 @@ def add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.add.reduceat(n[order], np.flatnonzero(new))
         c = np.empty(len(n), np.uint64)
         c[order] = total[word]
-        known, of = total > 0, kind[order][new]
-        by_class = np.concatenate((np.bincount(of, weights=total, minlength=CLASSES), np.bincount(of[known], minlength=CLASSES)))
+        of = kind[order][new]
+        by_class = np.concatenate((np.bincount(of, weights=total, minlength=CLASSES), *(np.bincount(of[x], minlength=CLASSES) for x in (total > 0, total == 1, total == 2))))
         yield row(-1, bucket, 0, by_class.astype(np.float64).tobytes())
         end = 0
         for (block, _), k in zip(parts, sizes, strict=True):
@@ -272,7 +278,14 @@ def add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             end += k
 
 
-def score_block(total: int, distinct: int, class_n: np.ndarray, class_v: np.ndarray, model: dict[str, np.ndarray]):
+def within_class(c: np.ndarray, kind: np.ndarray, stats: np.ndarray) -> np.ndarray:
+    """log10 P(word | class) of words by count and class; ``stats``: tokens, known words, words of count one and two by class."""
+    n, _, once, twice = stats
+    off = (once + 1) / (once + 2 * twice + 2)
+    return np.log10(np.where(c > 0, c - off[kind], off[kind]) / np.maximum(n, 1)[kind])
+
+
+def score_block(total: int, distinct: int, stats: np.ndarray, model: dict[str, np.ndarray]):
     """Score the texts of one block with the counts of its words."""
     scorer = at.Scorer(model)
 
@@ -290,7 +303,7 @@ def score_block(total: int, distinct: int, class_n: np.ndarray, class_v: np.ndar
         c, kind = np.concatenate(c), np.concatenate(kind)
         begin = np.concatenate(([0], np.cumsum(words.lengths)[:-1]))
         base = np.log10((c + 1) / (total + distinct + 1))[words.tokens]
-        inside = np.log10((c + 1) / (class_n[kind] + class_v[kind] + 1))
+        inside = within_class(c, kind, stats)
         inside[kind == 0] = 0.0
         score = inside[words.tokens]
         # texts in groups of about a million tokens
@@ -316,22 +329,24 @@ def score_texts(df: DataFrame, vocabulary_path: str, doc_id: str = "doc_id", tex
     blocks = max(-(-size // block_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")))
     own = fit_classes(taught.select("__t"), vocabulary_path)
     start = fit_start(sample_pieces(taught, sample_docs, size, pieces), vocabulary_path, own, steps)
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("id", F.octet_length("__t")), F.lit(blocks)).cast("int")).repartition("block")
-    sent = dealt.mapInArrow(count_words(vocabulary_path, own, start, blocks), "bucket int, block int, data binary")
-    back = stored(sent.repartition("bucket").mapInArrow(add_counts, "block int, bucket int, n long, data binary"), "counts")
+    tasks, buckets = min(blocks, MOST_TASKS), min(blocks, int(16 * blocks**0.5))
+    dealt = docs.withColumn("block", F.pmod(F.xxhash64("id", F.octet_length("__t")), F.lit(blocks)).cast("int")).repartition(tasks, "block")
+    sent = dealt.sortWithinPartitions("block").mapInArrow(count_words(vocabulary_path, own, start, buckets), "bucket int, block int, data binary")
+    met = sent.repartition(max(min(buckets, MOST_TASKS), 64), "bucket").sortWithinPartitions("bucket")
+    back = stored(met.mapInArrow(add_counts, "block int, bucket int, n long, data binary"), "counts")
     facts = back.where("block = -1").select("data")
-    by_class = facts.select(F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(2 * CLASSES - 1)), lambda k: F.substring("data", k * 8 + 1, F.lit(8)))).alias("k", "x"))
+    by_class = facts.select(F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(STATS * CLASSES - 1)), lambda k: F.substring("data", k * 8 + 1, F.lit(8)))).alias("k", "x"))
     by_class = by_class.mapInArrow(as_doubles, "k int, x double").groupBy("k").agg(F.sum("x").alias("x")).collect()
-    table = np.zeros(2 * CLASSES)
+    stats = np.zeros(STATS * CLASSES)
     for r in by_class:
-        table[r.k] = r.x
+        stats[r.k] = r.x
+    stats = stats.reshape(STATS, CLASSES)
     parts = back.where("block = -2").select("n", "data").collect()  # 64 at most
     weights = sum((np.frombuffer(r.data, np.float64) for r in parts), np.zeros(1)) / max(sum(r.n for r in parts), 1)
     model = at.unpack(weights, CLASSES) if parts else start
-    class_n, class_v = table[:CLASSES], table[CLASSES:]
-    total, distinct = int(class_n.sum()), int(class_v.sum())
+    total, distinct = int(stats[0].sum()), int(stats[1].sum())
     scored = dealt.groupBy("block").cogroup(back.where("block >= 0").groupBy("block")).applyInArrow(
-        score_block(total, distinct, class_n, class_v, model), f"id {docs.schema['id'].dataType.simpleString()}, n_tokens long, n_known long, base_score double, score double, held_out boolean"
+        score_block(total, distinct, stats, model), f"id {docs.schema['id'].dataType.simpleString()}, n_tokens long, n_known long, base_score double, score double, held_out boolean"
     )
     return scored.select(F.col("id").alias(doc_id), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 

@@ -129,3 +129,65 @@ def test_classes_and_start_see_all_training_texts(spark, monkeypatch):
     assert list(seen["own"]) == sorted(want, key=lambda k: (-want[k], k))
     lm.score_texts(spark.createDataFrame(docs, "doc_id long, text string"), PATH, sample_docs=1000, steps=2).count()
     assert sum(x.count(b"forest") for x in seen["texts"]) > 8000
+
+
+def naive_log10(p, classes, lengths):
+    """Each token's log10 probability by loops: softmax attention over the chunk before it and its own, up to itself."""
+    out, begin = [], 0
+    for n in lengths:
+        own = classes[begin : begin + n]
+        begin += n
+        inputs = [0, *own[:-1]]
+        for i, target in enumerate(own):
+            first = max(0, (i // at.CHUNK - 1) * at.CHUNK)
+            h = [p["embed"][inputs[j]] for j in range(first, i + 1)]
+            q = h[-1] @ p["q"]
+            s = np.array([q @ (x @ p["k"]) * at.WIDTH**-0.5 + p["near"][i - j] for x, j in zip(h, range(first, i + 1), strict=True)])
+            a = np.exp(s - s.max())
+            c = (a / a.sum()) @ np.array([x @ p["v"] for x in h])
+            z = (h[-1] + c @ p["o"]) @ p["out"] + p["bias"]
+            out.append((z[target] - z.max() - np.log(np.exp(z - z.max()).sum())) / np.log(10))
+    return np.array(out)
+
+
+def test_scores_equal_brute_force(spark, monkeypatch):
+    docs = corpus(5, 40)
+    seen = {}
+    score, fit = lm.score_block, lm.fit_classes
+    monkeypatch.setattr(lm, "score_block", lambda total, distinct, stats, model: seen.update(model=model) or score(total, distinct, stats, model))
+    monkeypatch.setattr(lm, "fit_classes", lambda *x: seen.update(own=fit(*x)) or seen["own"])
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in lm.score_texts(df, PATH, sample_docs=20, steps=20, block_bytes=3000).collect()}
+    p = {k: v.astype(np.float64) for k, v in seen["model"].items()}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in docs}
+    c = Counter(w for i, t in docs if not held[i] for w in tokens(t))
+    entries = lm.vocabulary(PATH)
+    kind = lambda w: 0 if w is None else seen["own"].get(lm.subword(w.encode(), entries)) or 1 + lm.OWN + lm.subword(w.encode(), entries) % lm.HASHED
+    once, twice, n = Counter(), Counter(), Counter()
+    for w, k in c.items():
+        n[kind(w)] += k
+        once[kind(w)] += k == 1
+        twice[kind(w)] += k == 2
+    for i, t in docs:
+        w = tokens(t)
+        want = naive_log10(p, [kind(x) for x in w], [len(w)]).sum()
+        for x in w[:-1]:
+            k = kind(x)
+            d = (once[k] + 1) / (once[k] + 2 * twice[k] + 2)
+            want += math.log10((c[x] - d if c[x] else d) / max(n[k], 1))
+        assert math.isclose(got[i], want, rel_tol=1e-3, abs_tol=1e-3), (i, got[i], want)
+
+
+def test_repeated_rows_and_extra_columns(spark):
+    docs = [(1, "a b c"), (1, "a b c"), (1, "d"), (None, "e f"), (None, "e f"), (2, None)]
+    df = spark.createDataFrame([(*d, "x", 1.0) for d in docs], "doc_id long, text string, id string, held double")
+    got = sorted((r.doc_id or 0, r.n_tokens, r.held_out) for r in lm.score_texts(df, PATH, sample_docs=5, steps=2).collect())
+    assert [x[:2] for x in got] == [(0, 3), (0, 3), (1, 2), (1, 4), (1, 4), (2, 1)]
+
+
+def test_a_task_reads_one_block_at_a_time():
+    import pyarrow as pa
+
+    rows = pa.RecordBatch.from_arrays([pa.array([1, 1, 2, 5, 5, 5], pa.int32())], names=["k"])
+    got = [(k, t.num_rows) for k, t in lm.by_key(iter([rows.slice(0, 1), rows.slice(1, 3), rows.slice(4, 0), rows.slice(4, 2)]), "k")]
+    assert got == [(1, 2), (2, 1), (5, 3)]
