@@ -6,12 +6,28 @@ once, with at least ``CHUNK`` tokens of context where the text has them. Weights
 
 from __future__ import annotations
 
+import ctypes
+from functools import lru_cache
+from pathlib import Path
+
 import numpy as np
 
 CHUNK, WIDTH = 16, 16
 NAMES = ("embed", "q", "k", "v", "o", "near", "out", "bias")
 
 
+@lru_cache(maxsize=1)
+def one_thread() -> bool:
+    """Let numpy's own OpenBLAS, if it has one, use a single thread: on matrices this small the others only wait."""
+    for path in Path(np.__file__).parent.parent.glob("numpy.libs/*openblas*"):
+        lib = ctypes.CDLL(str(path))
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads"):
+            if hasattr(lib, name):
+                getattr(lib, name)(1)
+                return True
+    return False
+
+
 def init(classes: int, seed: int = 5) -> dict[str, np.ndarray]:
     rng = np.random.Generator(np.random.PCG64(seed))
     draw = lambda *s: rng.normal(0, 0.2, s).astype(np.float32)

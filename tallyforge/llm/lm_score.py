@@ -191,6 +191,7 @@ def fit_start(texts: list[bytes], path: str, own: dict[int, int], steps: int) ->
     start = at.init(CLASSES)
     if not texts:
         return start
+    at.one_thread()
     words = Words(texts)
     inputs, targets, first, flat = at.layout(classes_of(words.strings(texts), vocabulary(path), own)[words.tokens], words.lengths)
     used = np.zeros(targets.size, bool)
@@ -236,6 +237,7 @@ def count_words(path: str, own: dict[int, int], start: dict[str, np.ndarray], bu
             yield -1 - block % 64, block, np.int64(len(flat)).tobytes() + at.pack(got)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at.one_thread()
         for b, rows in by_key(batches, "block"):
             texts = [x or b"" for x in rows.column("__t").cast(pa.binary()).to_pylist()]
             out = list(block_rows(b, texts, ~rows.column("held").to_numpy().astype(bool)))
@@ -290,6 +292,7 @@ def score_block(total: int, distinct: int, stats: np.ndarray, model: dict[str, n
     scorer = at.Scorer(model)
 
     def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
+        at.one_thread()
         if not docs.num_rows:
             return docs.slice(0, 0).select(["id"]).append_column("n_tokens", pa.array([], pa.int64())).append_column("n_known", pa.array([], pa.int64())).append_column("base_score", pa.array([], pa.float64())).append_column("score", pa.array([], pa.float64())).append_column("held_out", pa.array([], pa.bool_()))
         texts = [x or b"" for x in docs.column("__t").cast(pa.binary()).to_pylist()]

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .attention import one_thread
 from .bpe import by_bytes
 from .common import shared_dir, stored
 from .components import connected_components
@@ -197,6 +198,7 @@ def verify(threshold: int):
     """Compare sorted (key, pair) groups, one at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         out: list[tuple[int, int, int, int]] = []
         held: list[tuple] = []
 

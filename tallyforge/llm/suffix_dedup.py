@@ -14,8 +14,12 @@
    runs meet by their bytes over several salts first, and what is left meets window by window on 128-bit hashes with a
    partial aggregation.
 
+A task gets the hashes of about ``TASK_BYTES`` of text. Where that would take more than ``MOST_TASKS`` tasks (over 3 TB), rows
+are sorted within a task, which then holds a few whole hashes at a time.
+
 Ids are integers. Null texts are empty, rows with a null id keep everything, and rows that repeat an id and a text are
-one document twice: neither removes the other. Texts under ``WIDTH`` bytes keep everything. Very long texts are cut into
+one document twice: neither removes the other. Rows of one id with different texts share their removals: a range that is
+found in one is cut from all of them, as far as they reach. Texts under ``WIDTH`` bytes keep everything. Very long texts are cut into
 overlapping pieces. Ties do not occur, as places are unique. Empty tables give empty results. Columns named like an
 output are replaced; the others pass through.
 """
@@ -37,6 +41,8 @@ WIDTH, GRAM, SYMBOL = 100, 32, 8
 HOT_ROWS, SALTS, SAMPLE = 40_000, 8, 0.02
 PIECE = 1 << 19
 BATCH_SYMBOLS, SHARD_SYMBOLS = 120_000, 30_000
+SETTLE_ROWS, COMPARE_ROWS = 1_000_000, 200_000
+TASK_BYTES, MOST_TASKS = 64 << 20, 50_000
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
@@ -151,14 +157,46 @@ def window_runs(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "m long, c long, id long, s long, n int, own boolean")
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, least: int, in_order: bool) -> Iterator[pa.Table]:
+    """Tables that hold every row of the keys in them: all at once, or where the rows are in order of ``least`` rows or more."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if in_order and size >= least:
+            keys = batch.column(batch.schema.get_field_index(key)).to_numpy()
+            other = np.flatnonzero(keys != held[-1].column(held[-1].schema.get_field_index(key))[-1].as_py())
+            if len(other):
+                cut = int(other[0])
+                yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+                held, size, batch = [], 0, batch.slice(cut)
+        held.append(batch)
+        size += batch.num_rows
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def tasks_for(size: int, least: int) -> tuple[int, bool]:
+    """How many tasks to deal ``size`` bytes of text over, and whether a task would get so many that it has to sort its rows."""
+    tasks = max(-(-size // TASK_BYTES), least)
+    return min(tasks, MOST_TASKS), tasks > MOST_TASKS
+
+
 SPAN, COLD, HOT = 0, 1, 2
 
 
-def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def settle(in_order: bool):
     """From all runs of some hashes: byte ranges to remove (SPAN), and the runs that need their bytes compared."""
-    rows = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-    if rows is None or not rows.num_rows:
-        return
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_groups(batches, "key", SETTLE_ROWS, in_order):
+            yield from settle_groups(rows)
+
+    return run
+
+
+def settle_groups(rows: pa.Table) -> Iterator[pa.RecordBatch]:
     m, c, i, s, n = (rows.column(k).to_numpy() for k in ("m", "c", "id", "s", "n"))
     hot, own = (rows.column(k).to_numpy(zero_copy_only=False).astype(bool) for k in ("hot", "own"))
     done = np.flatnonzero(own)
@@ -317,12 +355,17 @@ def repeated(ids: np.ndarray, starts: np.ndarray, strings: list[bytes]) -> Itera
         yield int(ids[k]), int(starts[k] + text.offset[a]), int(starts[k] + text.offset[b]) + WIDTH
 
 
-def compare_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def compare_runs(in_order: bool):
     """Compare the bytes of all runs of some hashes, whole hashes at a time."""
-    batches = [b for b in batches if b.num_rows]
-    if not batches:
-        return
-    rows = pa.Table.from_batches(batches)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_groups(batches, "m", COMPARE_ROWS, in_order):
+            yield from compare_groups(rows)
+
+    return run
+
+
+def compare_groups(rows: pa.Table) -> Iterator[pa.RecordBatch]:
     m, i, s = (rows.column(k).to_numpy() for k in ("m", "id", "s"))
     x = rows.column("x").combine_chunks()
     x = pa.concat_arrays(x.chunks) if isinstance(x, pa.ChunkedArray) else x
@@ -352,12 +395,15 @@ def find_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", hot_ro
     shared_dir(df.sparkSession)
     all_docs = df.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).alias("__t"))
     docs = all_docs.where(F.octet_length("__t") >= WIDTH).where("__id is not null")
+    size = docs.agg(F.sum(F.octet_length("__t"))).first()[0] or 0
+    tasks, in_order = tasks_for(size, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt_by = lambda rows, key: rows.repartition(tasks, key).sortWithinPartitions(key) if in_order else rows.repartition(tasks, key)
     few = window_runs(docs.sample(sample, 5) if sample < 1 else docs).where("not own").groupBy("m").agg(F.count("*").alias("k"))
     hot = stored(few.where(F.col("k") >= max(2, int(hot_rows * sample))).select("m", F.lit(True).alias("is_hot")), "hot")
     runs = window_runs(docs).join(hot, "m", "left").withColumn("hot", F.coalesce("is_hot", F.lit(False)))
     key = F.when(F.col("own"), F.xxhash64("id", "s")).when(F.col("hot"), F.xxhash64("m", "c", F.pmod(F.xxhash64("id"), F.lit(SALTS)))).otherwise(F.col("m"))
-    dealt = runs.select("m", "c", "id", "s", "n", "hot", "own", key.alias("key")).repartition("key").drop("key")
-    settled = stored(dealt.mapInArrow(settle, "kind byte, m long, id long, s long, n int"), "settled")
+    dealt = dealt_by(runs.select("m", "c", "id", "s", "n", "hot", "own", key.alias("key")), "key")
+    settled = stored(dealt.mapInArrow(settle(in_order), "kind byte, m long, id long, s long, n int"), "settled")
 
     whole = settled.where(F.col("kind") == SPAN).select("id", F.col("s").alias("a"), (F.col("s") + F.col("n")).alias("b"))
 
@@ -365,7 +411,7 @@ def find_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", hot_ro
         ask = settled.where(F.col("kind") == kind).groupBy("id").agg(F.collect_list(F.struct("m", "s", "n")).alias("asked"))
         return docs.join(ask, docs["__id"] == ask["id"]).select("id", "__t", "asked")
 
-    cold = asked(COLD).mapInArrow(run_bytes, "m long, id long, s long, x binary").repartition("m").mapInArrow(compare_runs, "id long, a long, b long")
+    cold = dealt_by(asked(COLD).mapInArrow(run_bytes, "m long, id long, s long, x binary"), "m").mapInArrow(compare_runs(in_order), "id long, a long, b long")
     spans = whole.unionByName(cold)
     if hot.head(1):
         windows = asked(HOT).mapInArrow(run_windows, "h1 long, h2 long, id long, s long, own boolean")
