@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyforge.functions.scalars import clip, ieee_divide
+from tallyforge.operators.ordered import quantiles
 from tallyforge.operators.profile import quoted
 
 # Limits and the names an expression may use.
@@ -369,7 +370,7 @@ def interaction(df: DataFrame, compiled: Compiled, fill: float | None = None) ->
 
 
 def fit_interactions(df: DataFrame, texts: dict[str, str]) -> dict[str, tuple[Compiled, float | None, bool]]:
-    """(compiled, training median, constant?) by name, in two jobs for all: a constant feature should be rejected."""
+    """(compiled, training median, constant?) by name, in a few jobs for all: a constant feature should be rejected."""
     need = {n: Compiler(df, None) for n in texts}
     for n, text in texts.items():
         need[n].compile(validate(text).body)
@@ -379,9 +380,11 @@ def fit_interactions(df: DataFrame, texts: dict[str, str]) -> dict[str, tuple[Co
     for (n, k, _), v in zip(wanted, got, strict=True):
         stats[n][k] = None if v is None else float(v)
     done = {n: Compiled(text, stats[n]) for n, text in texts.items()}
-    values = [interaction(df, c) for c in done.values()]
-    facts = df.agg(*[x.alias(f"x{j}_{m}") for j, v in enumerate(values) for m, x in enumerate((F.percentile(v, F.lit(0.5)), F.min(v), F.max(v)))]).first()
-    return {n: (c, facts[3 * j], facts[3 * j + 1] is None or facts[3 * j + 1] == facts[3 * j + 2]) for j, (n, c) in enumerate(done.items())}
+    values = {n: interaction(df, c) for n, c in done.items()}
+    mid = quantiles(values, df, [0.5])
+    once = df.select(*[v.alias(f"v{j}") for j, v in enumerate(values.values())])
+    ends = once.agg(*[f(f"v{j}").alias(f"x{j}_{m}") for j in range(len(values)) for m, f in enumerate((F.min, F.max))]).first() if values else ()
+    return {n: (c, mid[n][0] if mid[n] else None, ends[2 * j] is None or ends[2 * j] == ends[2 * j + 1]) for j, (n, c) in enumerate(done.items())}
 
 
 def fit_interaction(df: DataFrame, text: str) -> tuple[Compiled, float | None, bool]:

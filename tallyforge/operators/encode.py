@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyforge.functions.scalars import NUMERIC, is_numeric
-from tallyforge.operators.profile import melt, quoted
+from tallyforge.operators.profile import melt, quoted, wide
 
 MISSING = "__NA__"
 #: Level maps up to this size are literals in the plan; longer ones are joined.
 LITERAL = 2000
+#: A column of more levels has no place in a frozen spec.
+MOST_LEVELS = 100_000
 
 
 def token(c: Column, dtype: T.DataType) -> Column:
@@ -26,10 +28,15 @@ def token(c: Column, dtype: T.DataType) -> Column:
     return F.coalesce(text, F.lit(MISSING))
 
 
-def levels_of(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
-    """Sorted distinct tokens by column in one job. Levels belong to a frozen spec, so they fit on the driver."""
+def levels_of(df: DataFrame, columns: Sequence[str], most: int = MOST_LEVELS) -> dict[str, list[str]]:
+    """Sorted distinct tokens by column. Levels belong to a frozen spec, so they fit on the driver: columns that a sketch
+    puts over ``most`` levels are refused before any is collected."""
     tokens = df.select(*[token(quoted(c), df.schema[c].dataType).alias(c) for c in columns])
-    rows = melt(tokens, columns, cast="string").distinct().collect()
+    if columns:
+        about = wide(tokens, {c: F.approx_count_distinct(quoted(c), 0.02) for c in columns})
+        if wrong := [f"{c} (about {n})" for c, n in about.items() if n > 1.1 * most]:
+            raise ValueError(f"more than {most} levels: {', '.join(wrong)}; bin, hash or drop them first")
+    rows = melt(tokens, columns, cast="string").distinct().collect() if columns else []
     out: dict[str, list[str]] = {c: [] for c in columns}
     for r in rows:
         out[r.feature].append(r.value)
@@ -59,10 +66,15 @@ def apply_labels(df: DataFrame, encoders: dict[str, Sequence[str]]) -> DataFrame
 
 
 def unseen_rates(df: DataFrame, encoders: dict[str, Sequence[str]]) -> DataFrame:
-    """(column, unseen_rate): the share of rows whose token the encoder has not seen."""
+    """(column, unseen_rate): the share of rows whose token the encoder has not seen. Tokens are counted, then joined."""
     cols = [c for c in encoders if c in df.columns]
-    rate = lambda c: F.avg(F.when(token(quoted(c), df.schema[c].dataType).isin(*encoders[c]), 0.0).otherwise(1.0))
-    return df.agg(F.array(*[F.struct(F.lit(c).alias("column"), F.round(F.coalesce(rate(c), F.lit(0.0)), 6).alias("unseen_rate")) for c in cols]).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+    tokens = df.select(*[token(quoted(c), df.schema[c].dataType).alias(c) for c in cols])
+    counts = melt(tokens, cols, cast="string").groupBy("feature", "value").agg(F.count("*").alias("n"))
+    known = df.sparkSession.createDataFrame([(c, v, True) for c in cols for v in encoders[c]], "feature string, value string, known boolean")
+    rate = F.sum(F.when(F.col("known").isNull(), F.col("n")).otherwise(0)) / F.sum("n")
+    got = counts.join(known, ["feature", "value"], "left").groupBy("feature").agg(rate.alias("r"))
+    every = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
+    return every.join(got, every["column"] == got["feature"], "left").select("column", F.round(F.coalesce("r", F.lit(0.0)), 6).alias("unseen_rate"))
 
 
 def fit_onehot(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyforge.operators.ordered import grouped_row_numbers, order_prefix
 from tallyforge.operators.profile import quoted
 
 OCCURRENCE, SPLIT, POSITION, ROW = "_key_occ_", "_split_", "_split_pos_", "_replay_row_idx_"
@@ -75,7 +76,8 @@ def split_key(keys: Sequence[str] | None, entity: str | None) -> list[str]:
 def freeze_assignment(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """Keys, occurrence, split and position in the split: what a replay needs to find each row again."""
     out = with_occurrence(df, keys, order)
-    out = out.withColumn(POSITION, F.row_number().over(W.partitionBy(SPLIT).orderBy(*order)) - 1)
+    cols = [F.col(o) if isinstance(o, str) else o for o in order]
+    out = grouped_row_numbers(out, [SPLIT], cols, order_prefix(out, cols[0]), POSITION).withColumn(POSITION, F.col(POSITION) - 1)
     return out.select(*keys, OCCURRENCE, SPLIT, POSITION)
 
 

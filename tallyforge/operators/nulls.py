@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyforge.functions.scalars import is_numeric, to_number
-from tallyforge.operators.profile import melt, null_profile, quoted, wide
+from tallyforge.operators.ordered import quantiles
+from tallyforge.operators.profile import as_table, melt, null_profile, quoted, wide
 
 # Strategies and the groups they may serve, the category for nulls, version, thresholds.
 STRATEGIES = {
@@ -138,16 +139,35 @@ def clean_value(df: DataFrame, c: str, rule: Rule) -> Column:
     return F.when(~F.isnan(d) & (F.abs(d) != float("inf")), d)
 
 
+def magnitudes(df: DataFrame, columns: Sequence[str]) -> dict[str, Column]:
+    """Finite values as doubles."""
+    d = {c: quoted(c).cast("double") for c in columns}
+    return {c: F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v) for c, v in d.items()}
+
+
 def statistics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """By numeric column: missing and zero rate, min, mean, median, p95, max, and the same of non-zero magnitudes."""
-    def of(c: str) -> Column:
-        d = quoted(c).cast("double")
-        d = F.when(~F.isnan(d) & (F.abs(d) != float("inf")), d)
-        nz = F.abs(F.when(d != 0, d))
-        mid, high = F.lit(0.5), F.lit(0.95)
-        return F.struct(F.lit(c).alias("column"), F.coalesce(F.try_divide(F.count(F.when(d.isNull(), 1)), F.count("*")), F.lit(0.0)).alias("missing_rate"), F.coalesce(F.try_divide(F.count(F.when(d == 0, 1)), F.count(d)), F.lit(0.0)).alias("zero_rate"), F.min(d).alias("min"), F.avg(d).alias("mean"), F.percentile(d, mid).alias("median"), F.percentile(d, high).alias("p95"), F.max(d).alias("max"), F.percentile(F.abs(d), mid).alias("abs_median"), F.percentile(F.abs(d), high).alias("abs_p95"), F.percentile(nz, mid).alias("nz_median"), F.percentile(nz, high).alias("nz_p95"), F.count(nz).alias("nz_count"))
-
-    return df.agg(F.array(*[of(c) for c in columns]).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+    d = magnitudes(df, columns)
+    want = {"n": F.count("*")}
+    for c, v in d.items():
+        want |= {f"{k}:{c}": g for k, g in (("c", F.count(v)), ("z", F.count(F.when(v == 0, 1))), ("lo", F.min(v)), ("avg", F.avg(v)), ("hi", F.max(v)))}
+    got = wide(df, want)
+    of = {f"{k}:{c}": x for c, v in d.items() for k, x in (("d", v), ("a", F.abs(v)), ("nz", F.abs(F.when(v != 0, v))))}
+    q = quantiles(of, df, [0.5, 0.95])
+    rows = []
+    for c in columns:
+        n, zeros = got[f"c:{c}"], got[f"z:{c}"]
+        mids = [x for k in ("d", "a", "nz") for x in (q[f"{k}:{c}"] or [None, None])]
+        rows.append((c, (got["n"] - n) / got["n"] if got["n"] else 0.0, zeros / n if n else 0.0, got[f"lo:{c}"], got[f"avg:{c}"], mids[0], mids[1], got[f"hi:{c}"], *mids[2:], n - zeros))
+    names = ("missing_rate", "zero_rate", "min", "mean", "median", "p95", "max", "abs_median", "abs_p95", "nz_median", "nz_p95")
+    return as_table(df, rows, "column string, " + ", ".join(f"{x} double" for x in names) + ", nz_count long")
+
+
+def nonzero_statistics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """By numeric column: median, p95 and count of the magnitudes that are not zero."""
+    d = {c: F.abs(F.when(v != 0, v)) for c, v in magnitudes(df, columns).items()}
+    n, q = wide(df, {c: F.count(v) for c, v in d.items()}), quantiles(d, df, [0.5, 0.95])
+    return as_table(df, [(c, *(q[c] or (None, None)), n[c]) for c in columns], "column string, nz_median double, nz_p95 double, nz_count long")
 
 
 def missing_drift(train: DataFrame, other: DataFrame, columns: Sequence[str], most: float = RATE_DRIFT) -> DataFrame:
@@ -160,7 +180,7 @@ def missing_drift(train: DataFrame, other: DataFrame, columns: Sequence[str], mo
 
 def scale_guard(train: DataFrame, other: DataFrame, columns: Sequence[str], fail: float = SCALE_FAIL, warn: float = SCALE_WARN, least: int = SCALE_ROWS) -> DataFrame:
     """(column, median_ratio, p95_ratio, verdict): fail only if both magnitudes move the same way by ``fail`` or more."""
-    pick = lambda df, s: statistics(df, columns).select("column", *[F.col(c).alias(c + s) for c in ("nz_median", "nz_p95", "nz_count")])
+    pick = lambda df, s: nonzero_statistics(df, columns).select("column", *[F.col(c).alias(c + s) for c in ("nz_median", "nz_p95", "nz_count")])
     j = pick(train, "_t").join(pick(other, "_o"), "column")
     m, p = F.try_divide(F.col("nz_median_o"), F.col("nz_median_t")), F.try_divide(F.col("nz_p95_o"), F.col("nz_p95_t"))
     far = lambda limit: ((m >= limit) & (p >= limit)) | ((m <= 1 / limit) & (p <= 1 / limit))

@@ -11,15 +11,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BUCKETS = 64
-#: Inputs that the optimizer takes for smaller than this get their quantiles in one aggregate.
-SMALL_BYTES = 1 << 30
-
-
-def plan_bytes(df: DataFrame) -> int:
-    """The optimizer's size of the rows; no job runs."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+#: Accuracy of the sketches that only place the buckets.
+SKETCH = 1000
 
 
 def bucket_of(df: DataFrame, order: Column, buckets: int = BUCKETS) -> Column:
@@ -78,29 +74,72 @@ def bin_tree(value: Column, inner: Sequence[float], closed: str) -> Column:
     return search(0, len(inner))
 
 
-def quantiles(values: dict[str, Column], df: DataFrame, probs: Sequence[float], exact: bool = True, buckets: int = BUCKETS, small: int = SMALL_BYTES) -> dict[str, list[float] | None]:
+def grouped_row_numbers(df: DataFrame, group: Sequence[str], order: Sequence[Column], prefix: Column, name: str) -> DataFrame:
+    """A row number from 1 within each group, without a window over a whole group.
+
+    ``prefix`` is a coarse value that never falls along ``order``: a window numbers the rows of a group and prefix, and the
+    rows of the prefixes before it come from counts, one a group and prefix. Group columns have no nulls.
+    """
+    df = df.withColumn("__b", prefix)
+    part = [*group, "__b"]
+    before = W.partitionBy(*group).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+    counts = df.groupBy(*part).agg(F.count("*").alias("__n")).select(*part, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__p"))
+    out = df.join(counts, part).withColumn(name, F.row_number().over(W.partitionBy(*part).orderBy(*order)) + F.col("__p"))
+    return out.drop("__b", "__p")
+
+
+def order_prefix(df: DataFrame, lead: Column) -> Column:
+    """A coarse value along ``lead``: buckets of numbers and times, the first two characters of all else; nulls come first."""
+    kind = df.select(lead.alias("x")).schema["x"].dataType
+    if isinstance(kind, T.NumericType | T.DateType | T.TimestampType | T.TimestampNTZType):
+        number = lead.cast("timestamp").cast("double") if not isinstance(kind, T.NumericType) else lead.cast("double")
+        return F.coalesce(bucket_of(df, number), F.lit(0))
+    return F.coalesce(F.substring(lead.cast("string"), 1, 2), F.lit(""))
+
+
+def quantiles(values: dict[str, Column], df: DataFrame, probs: Sequence[float], exact: bool = True, buckets: int = BUCKETS) -> dict[str, list[float] | None]:
     """Quantiles (linear interpolation) of many expressions; None where there are no values. Sketches if not ``exact``.
 
-    Inputs under ``small`` bytes take one aggregate. Beyond, rows are counted by bucket of rough quantiles, then values in the buckets that hold a wanted rank: no task holds all
-    values of a column, and the driver gets counts by bucket and the wanted values.
+    Sketches give edges close around the wanted places (or even ones, where many are wanted). Rows are counted by the buckets
+    between them, then values are counted in the buckets that hold a wanted rank: no task holds all values of a column,
+    and the driver gets counts by bucket and the wanted values.
     """
-    d = {c: F.when(~F.isnan(v.cast("double")), v.cast("double")) for c, v in values.items()}
-    if not d:
-        return {}
-    if exact and plan_bytes(df) < small:
-        ps = F.array(*[F.lit(float(p)) for p in probs])
-        return dict(zip(d, df.agg(*[F.percentile(v, ps).alias(f"x{k}") for k, v in enumerate(d.values())]).first(), strict=True))
-    at = list(probs) if not exact else [k / buckets for k in range(1, buckets)]
-    rough = df.agg(*[F.percentile_approx(v, at, 10_000 if not exact else 1000).alias(f"x{k}") for k, v in enumerate(d.values())]).first()
+    out: dict[str, list[float] | None] = {}
+    names = list(values)
+    for k in range(0, len(names), 50):  # generated code has its limits
+        some = {c: f"q{j}" for j, c in enumerate(names[k : k + 50])}
+        once = df.select(*[values[c].cast("double").alias(q) for c, q in some.items()])  # each expression is computed once
+        once = once.select(*[F.when(~F.isnan(q), F.col(q)).alias(q) for q in some.values()])
+        out |= some_quantiles({c: F.col(q) for c, q in some.items()}, once, probs, exact, buckets)
+    return out
+
+
+def some_quantiles(d: dict[str, Column], df: DataFrame, probs: Sequence[float], exact: bool, buckets: int) -> dict[str, list[float] | None]:
+    near = 2.0 / SKETCH
+    if not exact:
+        at = list(probs)
+    elif 2 * len(probs) < buckets:
+        at = sorted({min(max(p + e, 0.0), 1.0) for p in probs for e in (-near, near)})
+    else:
+        at = [k / buckets for k in range(1, buckets)]
+    rough = df.agg(*[F.percentile_approx(v, at, 10_000 if not exact else SKETCH).alias(f"x{k}") for k, v in enumerate(d.values())]).first()
     if not exact:
         return dict(zip(d, rough, strict=True))
     names = list(d)
     edges = [sorted(set(r)) if r else [] for r in rough]
-    cells = F.array(*[F.struct(F.lit(k).alias("f"), d[c].alias("v"), bin_tree(d[c], edges[k], "left").alias("b")) for k, c in enumerate(names)])
-    long = df.select(F.explode(cells).alias("x")).select("x.*").where("v is not null")
+    few = all(len(e) <= 8 for e in edges)
     counts: dict[int, list[tuple[int, int]]] = {k: [] for k in range(len(names))}
-    for r in long.groupBy("f", "b").agg(F.count("*").alias("n")).collect():  # a row a bucket
-        counts[r.f].append((r.b, r.n))
+    if few:  # how many values lie under each edge, in one aggregate
+        under = [[F.count(F.when(d[c] < e, 1)) for e in edges[k]] + [F.count(d[c])] for k, c in enumerate(names)]
+        got = df.agg(*[x.alias(f"x{k}_{j}") for k, xs in enumerate(under) for j, x in enumerate(xs)]).first().asDict()
+        for k in range(len(names)):
+            upto = [0, *[got[f"x{k}_{j}"] for j in range(len(edges[k]) + 1)]]
+            counts[k] = [(j, y - x) for j, (x, y) in enumerate(zip(upto[:-1], upto[1:], strict=True)) if y > x]
+    else:
+        cells = [F.struct(F.lit(k).alias("f"), d[c].alias("v"), bin_tree(d[c], edges[k], "left").alias("b")) for k, c in enumerate(names)]
+        long = df.select(F.explode(F.array(*cells)).alias("x")).select("x.*").where("v is not null")
+        for r in long.groupBy("f", "b").agg(F.count("*").alias("n")).collect():  # a row a bucket
+            counts[r.f].append((r.b, r.n))
     wanted: dict[tuple[int, int], set[int]] = {}
     ranks: dict[str, list[tuple[int, int, float]]] = {}
     place: dict[tuple[int, int], tuple[int, int]] = {}
@@ -116,7 +155,11 @@ def quantiles(values: dict[str, Column], df: DataFrame, probs: Sequence[float],
                     wanted.setdefault((k, b), set()).add(x - start)
             start += n
     if not wanted:
-        return {c: None for c in names}
+        return dict.fromkeys(names)
+    if few:
+        inside = lambda v, e, b: (F.lit(True) if b == 0 else v >= e[b - 1]) & (F.lit(True) if b == len(e) else v < e[b])
+        cells = [F.when(inside(d[names[f]], edges[f], b) & d[names[f]].isNotNull(), F.struct(F.lit(f).alias("f"), F.lit(b).alias("b"), d[names[f]].alias("v"))) for f, b in wanted]
+        long = df.select(F.explode(F.array_compact(F.array(*cells))).alias("x")).select("x.*")
     asked = df.sparkSession.createDataFrame([(f, b, sorted(o)) for (f, b), o in wanted.items()], "f int, b int, off array<long>")
     asked = F.broadcast(asked)  # a row a bucket that holds a wanted rank
     each = long.join(asked, ["f", "b"], "left_semi").groupBy("f", "b", "v").agg(F.count("*").alias("n")).join(asked, ["f", "b"])

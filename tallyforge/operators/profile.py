@@ -43,13 +43,33 @@ def n_duplicates(df: DataFrame) -> DataFrame:
     return out.withColumn("n_duplicates", F.col("n_rows") - F.col("n_unique")).withColumn("duplicate_pct", F.coalesce(F.round(100.0 * F.try_divide(F.col("n_duplicates"), F.col("n_rows")), 4), F.lit(0.0)))
 
 
+def distinct_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
+    """Distinct values that are not null, by column: values are grouped by column and value, then counted."""
+    same = lambda c: quoted(c) + F.lit(0.0) if isinstance(df.schema[c].dataType, T.FloatType | T.DoubleType) else quoted(c)
+    out = dict.fromkeys(columns, 0)
+    for k in range(0, len(columns), CHUNK):
+        cells = F.array(*[F.struct(F.lit(j).alias("f"), same(c).cast("string").alias("v")) for j, c in enumerate(columns[k : k + CHUNK])])
+        once = df.select(F.explode(cells).alias("x")).select("x.*").where("v is not null").groupBy("f", "v").agg(F.lit(1))
+        out |= {columns[k + r.f]: r.n for r in once.groupBy("f").agg(F.count("*").alias("n")).collect()}
+    return out
+
+
+def as_table(df: DataFrame, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A small result, a row a column of the input, as a DataFrame."""
+    return df.sparkSession.createDataFrame(list(rows), schema)
+
+
+def share(part: int, whole: int, digits: int, times: float = 100.0) -> float:
+    return round(times * part / whole, digits) if whole else 0.0
+
+
 def column_metadata(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """By column: n_rows, nulls, null_pct, n_unique and whether it is constant. One wide aggregate, then a stack."""
+    """By column: n_rows, nulls, null_pct, n_unique and whether it is constant."""
     columns = list(columns or df.columns)
-    one = df.agg(F.count("*").alias("n"), *[x for k, c in enumerate(columns) for x in (F.count(F.when(quoted(c).isNull(), 1)).alias(f"n{k}"), F.countDistinct(quoted(c)).alias(f"u{k}"))])
-    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col("n").alias("n_rows"), F.col(f"n{k}").alias("nulls"), F.col(f"u{k}").alias("n_unique")) for k, c in enumerate(columns)])
-    out = one.select(F.explode(rows).alias("x")).select("x.*")
-    return out.withColumn("null_pct", F.round(F.coalesce(100.0 * F.try_divide(F.col("nulls"), F.col("n_rows")), F.lit(0.0)), 4)).withColumn("is_constant", F.col("n_unique") <= 1)
+    got = wide(df, {"n": F.count("*"), **{f"c:{c}": F.count(quoted(c)) for c in columns}})
+    unique, n = distinct_counts(df, columns), got["n"]
+    rows = [(c, n, n - got[f"c:{c}"], unique[c], share(n - got[f"c:{c}"], n, 4), unique[c] <= 1) for c in columns]
+    return as_table(df, rows, "column string, n_rows long, nulls long, n_unique long, null_pct double, is_constant boolean")
 
 
 def inspect_metadata(df: DataFrame) -> dict:
@@ -70,13 +90,19 @@ def metadata_bands(df: DataFrame) -> DataFrame:
     return column_metadata(df).groupBy(band.alias("band")).agg(F.count("*").alias("n_columns"))
 
 
+def moments(df: DataFrame, columns: Sequence[str]) -> tuple[int, dict[str, dict]]:
+    """Rows, and by column: count, mean, std, min, max, skew (of the population), in chunks of columns."""
+    f = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max, "skew": F.skewness}
+    got = wide(df, {"n": F.count("*"), **{f"{k}:{c}": g(quoted(c).cast("double")) for c in columns for k, g in f.items()}})
+    return got["n"], {c: {k: got[f"{k}:{c}"] for k in f} for c in columns}
+
+
 def numeric_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """By column: count, nulls, n_unique, mean, median, std, min, max."""
-    def of(c: str) -> Column:
-        d = quoted(c).cast("double")
-        return F.struct(F.lit(c).alias("column"), F.count(d).alias("count"), F.count(F.when(d.isNull(), 1)).alias("nulls"), F.countDistinct(d).alias("n_unique"), F.avg(d).alias("mean"), F.percentile(d, F.lit(0.5)).alias("median"), F.stddev_samp(d).alias("std"), F.min(d).alias("min"), F.max(d).alias("max"))
-
-    return df.agg(F.array(*[of(c) for c in columns]).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+    n, m = moments(df, columns)
+    unique, mid = distinct_counts(df, columns), quantiles({c: quoted(c) for c in columns}, df, [0.5])
+    rows = [(c, x["count"], n - x["count"], unique[c], x["mean"], mid[c][0] if mid[c] else None, x["std"], x["min"], x["max"]) for c, x in m.items()]
+    return as_table(df, rows, "column string, count long, nulls long, n_unique long, mean double, median double, std double, min double, max double")
 
 
 def value_counts(df: DataFrame, column: str, top: int = 10) -> DataFrame:
@@ -86,13 +112,11 @@ def value_counts(df: DataFrame, column: str, top: int = 10) -> DataFrame:
 
 def skew_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """By column: null_pct, n_unique, mean, std, min, max and bias-adjusted skewness."""
-    def of(c: str) -> Column:
-        d = quoted(c).cast("double")
-        n = F.count(d).cast("double")
-        skew = F.when(n > 2, F.skewness(d) * F.sqrt(n * (n - 1)) / (n - 2))
-        return F.struct(F.lit(c).alias("column"), F.coalesce(100.0 * F.try_divide(F.count(F.when(d.isNull(), 1)), F.count("*")), F.lit(0.0)).alias("null_pct"), F.countDistinct(d).alias("n_unique"), F.avg(d).alias("mean"), F.stddev_samp(d).alias("std"), F.min(d).alias("min"), F.max(d).alias("max"), skew.alias("skew"))
-
-    return df.agg(F.array(*[of(c) for c in columns]).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+    n, m = moments(df, columns)
+    unique = distinct_counts(df, columns)
+    adjust = lambda x, k: None if x is None or k <= 2 else x * (k * (k - 1)) ** 0.5 / (k - 2)
+    rows = [(c, 100.0 * (n - x["count"]) / n if n else 0.0, unique[c], x["mean"], x["std"], x["min"], x["max"], adjust(x["skew"], x["count"])) for c, x in m.items()]
+    return as_table(df, rows, "column string, null_pct double, n_unique long, mean double, std double, min double, max double, skew double")
 
 
 def quartiles(df: DataFrame, columns: Sequence[str], exact: bool = True) -> dict[str, tuple[float, float] | None]:
@@ -259,15 +283,17 @@ def fallback_drops(df: DataFrame, ratio: float = 0.9, protected: Sequence[str] =
 
 def null_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """By column: group (numerical, binary, categorical), missing and zero rate, n_unique, min, max."""
-    def of(c: str) -> Column:
-        numeric = is_numeric(df, c)
-        d = quoted(c).cast("double") if numeric else F.lit(None).cast("double")
-        v = quoted(c)
-        u = F.countDistinct(v)
-        group = F.when(u <= 2, "binary").otherwise("numerical") if numeric else F.lit("categorical")
-        return F.struct(F.lit(c).alias("column"), group.alias("group"), F.coalesce(F.round(F.try_divide(F.count(F.when(v.isNull(), 1)), F.count("*")), 6), F.lit(0.0)).alias("missing_rate"), u.alias("n_unique"), F.coalesce(F.round(F.try_divide(F.count(F.when(d == 0, 1)), F.count(d)), 6), F.lit(0.0)).alias("zero_rate"), F.min(d).alias("min"), F.max(d).alias("max"))
-
-    return df.agg(F.array(*[of(c) for c in columns]).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+    numeric = [c for c in columns if is_numeric(df, c)]
+    d = lambda c: quoted(c).cast("double")
+    want = {"n": F.count("*"), **{f"c:{c}": F.count(quoted(c)) for c in columns}}
+    want |= {f"{k}:{c}": g for c in numeric for k, g in (("z", F.count(F.when(d(c) == 0, 1))), ("lo", F.min(d(c))), ("hi", F.max(d(c))))}
+    got, unique = wide(df, want), distinct_counts(df, columns)
+    rows = []
+    for c in columns:
+        have = got[f"c:{c}"]
+        group = "categorical" if c not in numeric else "binary" if unique[c] <= 2 else "numerical"
+        rows.append((c, group, share(got["n"] - have, got["n"], 6, 1.0), unique[c], share(got[f"z:{c}"], have, 6, 1.0) if c in numeric else 0.0, got.get(f"lo:{c}"), got.get(f"hi:{c}")))
+    return as_table(df, rows, "column string, group string, missing_rate double, n_unique long, zero_rate double, min double, max double")
 
 
 def class_weights(df: DataFrame, label: str, mode: str | float = "auto") -> DataFrame:

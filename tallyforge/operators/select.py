@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import reduce
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions.scalars import is_numeric
 from tallyforge.operators.binning import compute_iv
 from tallyforge.operators.metrics import auc, auc_by_group, auc_se
+from tallyforge.operators.ordered import quantiles
 from tallyforge.operators.profile import melt, quoted, wide
 from tallyforge.operators.split import hash_order
 
@@ -36,9 +35,13 @@ def target_correlation(df: DataFrame, target: str, columns: Sequence[str]) -> Da
     return out.withColumn("band", F.when(size > HIGH_CORR, "high").when(size < LOW_CORR, "low").otherwise("medium"))
 
 
+def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
+    return {c: q[0] if q else None for c, q in quantiles({c: quoted(c) for c in columns}, df, [0.5]).items()}
+
+
 def anova_f(df: DataFrame, target: str, columns: Sequence[str]) -> DataFrame:
     """(feature, f): one-way ANOVA of each column by class; nulls are the column's median."""
-    mid = wide(df, {c: F.percentile(quoted(c).cast("double"), F.lit(0.5)) for c in columns})
+    mid = medians(df, columns)
     filled = df.where(quoted(target).isNotNull()).select(quoted(target).cast("string").alias("y"), *[F.coalesce(quoted(c).cast("double"), F.lit(mid[c]).cast("double")).alias(c) for c in columns])
     by = filled.groupBy("y").agg(F.count("*").alias("n"), *[x for k, c in enumerate(columns) for x in (F.sum(quoted(c)).alias(f"s{k}"), F.var_pop(quoted(c)).alias(f"v{k}"))])
     n, g = F.sum("n"), F.count("*")
@@ -53,7 +56,7 @@ def anova_f(df: DataFrame, target: str, columns: Sequence[str]) -> DataFrame:
 
 def regression_f(df: DataFrame, target: str, columns: Sequence[str]) -> DataFrame:
     """(feature, f) of a simple regression on each column; nulls are the column's median."""
-    mid = wide(df, {c: F.percentile(quoted(c).cast("double"), F.lit(0.5)) for c in columns})
+    mid = medians(df, columns)
     rows = df.where(quoted(target).isNotNull())
     y = quoted(target).cast("double")
 
@@ -70,18 +73,74 @@ def f_scores(df: DataFrame, target: str, columns: Sequence[str], few: int = 10)
     return anova_f(df, target, columns) if n < few else regression_f(df, target, columns)
 
 
-def correlations(df: DataFrame, columns: Sequence[str], fill: str = "mean") -> DataFrame:
-    """(a, b, corr) of all pairs in wide aggregates; nulls are the column's mean (or left out pairwise)."""
-    base = wide(df, {c: F.avg(quoted(c).cast("double")) for c in columns}) if fill == "mean" else {}
-    v = lambda c: F.coalesce(quoted(c).cast("double"), F.lit(base[c]).cast("double")) if fill == "mean" else quoted(c).cast("double")
-    pairs = list(combinations(columns, 2))
-    parts = []
-    for k in range(0, len(pairs), 100):
-        of = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(pearson(v(a), v(b)), 9).alias("corr")) for a, b in pairs[k : k + 100]]
-        parts.append(df.agg(F.array(*of).alias("x")).select(F.explode("x").alias("x")).select("x.*"))
-    if not parts:
-        return df.sparkSession.createDataFrame([], "a string, b string, corr double")
-    return reduce(DataFrame.unionByName, parts)
+def gram(rows: DataFrame, columns: Sequence[str], centre: Sequence[float], pairwise: bool) -> DataFrame:
+    """(i, sums): by column, its products with all columns summed over all rows, one matrix a task, then added up.
+
+    ``pairwise``: four such vectors (products, own values, own squares, counts) of the rows where both columns have a value.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    width, mid = len(columns), list(centre)
+
+    def run(batches):
+        total = np.zeros((4 if pairwise else 1, width, width))
+        for batch in batches:
+            x = np.stack([np.asarray(c.fill_null(float("nan")), float) for c in batch.columns], axis=1) - np.array(mid)
+            have = ~np.isnan(x)
+            x = np.where(have, x, 0.0)
+            total[0] += x.T @ x
+            if pairwise:
+                y = have.astype(float)
+                total[1] += x.T @ y
+                total[2] += (x * x).T @ y
+                total[3] += y.T @ y
+        for k in range(width):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([total[:, k].ravel().tolist()], pa.list_(pa.float64()))], names=["i", "sums"])
+
+    def add(table):
+        rows = table.column("sums").to_pylist()
+        return pa.table({"i": table.column("i").slice(0, 1), "sums": pa.array([np.sum(np.array(rows), axis=0).tolist()], pa.list_(pa.float64()))})
+
+    return rows.mapInArrow(run, "i int, sums array<double>").groupBy("i").applyInArrow(add, "i int, sums array<double>")
+
+
+def correlations(df: DataFrame, columns: Sequence[str], fill: str = "mean", least: float | None = None) -> DataFrame:
+    """(a, b, corr) of all pairs, or of those over ``least``; nulls are the column's mean (or left out pairwise).
+
+    One pass: every task adds up the matrix of products of its rows. Columns without spread correlate 0 with all.
+    """
+    columns = list(columns)
+    schema = "a string, b string, corr double"
+    if len(columns) < 2:
+        return df.sparkSession.createDataFrame([], schema)
+    centre = [x or 0.0 for x in wide(df, {c: F.avg(quoted(c).cast("double")) for c in columns}).values()]
+    pairwise = fill != "mean"
+    sums = gram(df.select(*[quoted(c).cast("double").alias(f"c{k}") for k, c in enumerate(columns)]), columns, centre, pairwise)
+    width = len(columns)
+    spread = {} if pairwise else {r.i: r.v for r in sums.select("i", F.col("sums")[F.col("i")].alias("v")).collect()}  # a number a column
+    mirror = [] if not pairwise else [(r.i, r.s) for r in sums.select("i", F.slice("sums", width + 1, 2 * width).alias("s")).collect()]
+    others = {i: (s[:width], s[width:]) for i, s in mirror}
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for j in range(i + 1, width):
+                    if pairwise:
+                        n = v[3 * width + j]
+                        xy, x, y, xx, yy = v[j], v[width + j], others[j][0][i], v[2 * width + j], others[j][1][i]
+                        top, low = (xy - x * y / n, (xx - x * x / n) * (yy - y * y / n)) if n else (0.0, 0.0)
+                    else:
+                        top, low = v[j], spread[i] * spread[j]
+                    r = round(top / low**0.5, 9) if low > 0 else 0.0
+                    if least is None or abs(r) > least:
+                        out.append({"a": columns[i], "b": columns[j], "corr": r})
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("a", pa.string()), ("b", pa.string()), ("corr", pa.float64())]))
+
+    return sums.mapInArrow(run, schema)
 
 
 def greedy_prune(scores: dict[str, float], corr: dict[tuple[str, str], float], most: float = COLLINEAR) -> tuple[list[str], list[str]]:
@@ -94,7 +153,7 @@ def greedy_prune(scores: dict[str, float], corr: dict[tuple[str, str], float], m
 
 
 def prune_collinear(df: DataFrame, scores: dict[str, float], most: float = COLLINEAR) -> tuple[list[str], list[str]]:
-    corr = {(r.a, r.b): r.corr for r in correlations(df, list(scores)).collect()}  # a number a pair of columns
+    corr = {(r.a, r.b): r.corr for r in correlations(df, list(scores), least=most).collect()}  # the pairs over the limit
     return greedy_prune(scores, corr, most)
 
 

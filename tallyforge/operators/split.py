@@ -6,9 +6,9 @@ from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyforge.operators.ordered import grouped_row_numbers
 from tallyforge.operators.keys import SPLIT
 from tallyforge.operators.profile import quoted
 
@@ -20,6 +20,12 @@ def hash_order(keys: Sequence[str], seed: int = 42) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(quoted(k).cast("string"), F.lit("")) for k in keys]))
 
 
+def hash_ranks(df: DataFrame, group: Sequence[str], keys: Sequence[str], seed: int, name: str) -> DataFrame:
+    """Ranks from 1 in hash order within each group; windows hold a 4096th of a group."""
+    df = df.withColumn("__h", hash_order(keys, seed))
+    return grouped_row_numbers(df, group, ["__h", *[quoted(k) for k in keys]], F.substring("__h", 1, 3), name).drop("__h")
+
+
 def period_of(c: Column, unit: str = "M", anchor: str = "SUN") -> Column:
     """The month, or the last day of the week that ends on ``anchor``."""
     return F.date_trunc("MONTH", c).cast("date") if unit == "M" else F.next_day(F.date_sub(c.cast("date"), 1), anchor)
@@ -79,24 +85,21 @@ def stratified_sample(df: DataFrame, ratio: float, label: str | None, keys: Sequ
         group = F.lit("")
     df = df.withColumn("__g", F.coalesce(group, F.lit("\0")))
     sizes = df.groupBy("__g").agg(F.greatest(F.lit(1), F.floor(F.count("*") * F.lit(ratio))).alias("__k"))
-    rank = F.row_number().over(W.partitionBy("__g").orderBy(hash_order(keys, seed), *[quoted(k) for k in keys]))
-    return df.withColumn("__r", rank).join(F.broadcast(sizes), "__g").where("__r <= __k").drop("__g", "__r", "__k")  # a row a class
+    return hash_ranks(df, ["__g"], keys, seed, "__r").join(sizes, "__g").where("__r <= __k").drop("__g", "__r", "__k")
 
 
 def stratified_split(df: DataFrame, share: float, label: str | None, keys: Sequence[str], seed: int = 42, names: tuple[str, str] = ("train", "valid")) -> DataFrame:
     """Rows marked in ``_split_``: round(n * share) of each class in hash order are the second part."""
     df = df.withColumn("__g", F.coalesce(quoted(label).cast("string"), F.lit("\0")) if label else F.lit(""))
     sizes = df.groupBy("__g").agg(F.round(F.count("*") * F.lit(share)).alias("__k"))
-    rank = F.row_number().over(W.partitionBy("__g").orderBy(hash_order(keys, seed), *[quoted(k) for k in keys]))
-    out = df.withColumn("__r", rank).join(F.broadcast(sizes), "__g")
+    out = hash_ranks(df, ["__g"], keys, seed, "__r").join(sizes, "__g")
     return out.withColumn(SPLIT, F.when(F.col("__r") <= F.col("__k"), names[1]).otherwise(names[0])).drop("__g", "__r", "__k")
 
 
 def k_folds(df: DataFrame, k: int, label: str | None, keys: Sequence[str], seed: int = 42, name: str = "fold") -> DataFrame:
     """Folds 0 to k-1 dealt in hash order within each class."""
-    group = [quoted(label).cast("string")] if label else [F.lit("")]
-    rank = F.row_number().over(W.partitionBy(*group).orderBy(hash_order(keys, seed), *[quoted(c) for c in keys]))
-    return df.withColumn(name, F.pmod(rank, F.lit(k)))
+    df = df.withColumn("__g", F.coalesce(quoted(label).cast("string"), F.lit("\0")) if label else F.lit(""))
+    return hash_ranks(df, ["__g"], keys, seed, name).withColumn(name, F.pmod(name, F.lit(k)).cast("int")).drop("__g")
 
 
 @dataclass(frozen=True)
@@ -156,11 +159,10 @@ def apply_split(df: DataFrame, plan: SplitPlan, label: str | None, keys: Sequenc
     df = df.withColumn(SPLIT, tag)
     if not plan.random_share:
         return df
-    rank = F.row_number().over(W.partitionBy(SPLIT, *([quoted(label).cast("string")] if label else [])).orderBy(hash_order(keys, seed), *[quoted(k) for k in keys]))
     group = ["__g", SPLIT]
-    df = df.withColumn("__g", F.coalesce(quoted(label).cast("string"), F.lit("\0")) if label else F.lit("")).withColumn("__r", rank)
+    df = df.withColumn("__g", F.coalesce(quoted(label).cast("string"), F.lit("\0")) if label else F.lit(""))
     sizes = df.groupBy(*group).agg(F.round(F.count("*") * F.lit(plan.random_share)).alias("__k"))
-    out = df.join(F.broadcast(sizes), group)
+    out = hash_ranks(df, group, keys, seed, "__r").join(sizes, group)
     return out.withColumn(SPLIT, F.when((F.col(SPLIT) == "train") & (F.col("__r") <= F.col("__k")), "valid_random").otherwise(F.col(SPLIT))).drop("__g", "__r", "__k")
 
 
