@@ -186,15 +186,24 @@ def format_scan(spark, d):
     return profile.column_formats(p).unionByName(profile.column_formats(o))
 
 
-@query("SELECT * FROM (VALUES ('mostly_null', 'null'), ('fixed', 'constant'), ('flat', 'dominant')) AS v(\"column\", reason)")
+FLAWED = "(SELECT l_quantity, CASE WHEN l_orderkey % 50 = 0 THEN 1 END AS mostly_null, 7.0 AS fixed, CASE WHEN l_orderkey % 200 = 0 THEN l_quantity ELSE 0.0 END AS flat FROM lineitem)"
+
+
+@query("SELECT \"column\", reason FROM (" + union([f"""
+SELECT '{c}' AS "column", CASE WHEN count(*) FILTER ({c} IS NULL) / count(*) > 0.95 THEN 'null' WHEN min({c}) = max({c}) THEN 'constant'
+  WHEN count(DISTINCT {c}) <= 1000 AND (SELECT max(n) FROM (SELECT count(*) AS n FROM {FLAWED} WHERE {c} IS NOT NULL GROUP BY {c})) / count(*) > 0.99 THEN 'dominant' END AS reason FROM {FLAWED}""" for c in ("l_quantity", "mostly_null", "fixed", "flat")]) + ") WHERE reason IS NOT NULL")
 def prefilter_scan(spark, d):
     rows = t(spark, d, "lineitem").select("l_orderkey", "l_quantity", F.when(F.col("l_orderkey") % 50 == 0, 1).alias("mostly_null"), F.lit(7.0).alias("fixed"), F.when(F.col("l_orderkey") % 200 == 0, F.col("l_quantity")).otherwise(0.0).alias("flat"))
     return profile.prefilter(rows, ["l_orderkey"])
 
 
-@query("SELECT 'n_nationkey' AS key_column")
+PAIRED = ("o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority", "o_orderkey")
+
+
+@query("SELECT name AS key_column FROM (" + union([f"SELECT {k} AS k, '{c}' AS name, count(DISTINCT (o_custkey, {c})) = count(*) AND count({c}) = count(*) AS ok FROM orders" for k, c in enumerate(PAIRED)]) + ") WHERE ok ORDER BY k LIMIT 1")
 def detect_composite_key(spark, d):
-    return spark.createDataFrame([(profile.detect_key(t(spark, d, "nation"), "n_regionkey"),)], "key_column string")
+    rows = t(spark, d, "orders").select("o_custkey", *PAIRED)
+    return spark.createDataFrame([(profile.detect_key(rows, "o_custkey"),)], "key_column string")
 
 
 @query("SELECT 'fix' AS \"column\" WHERE (SELECT count(*) FILTER (l_orderkey % 20 = 0) / count(*) FROM lineitem) < 0.1")
@@ -554,7 +563,11 @@ def correlation_pairs(spark, d):
     return select.correlations(sparse_lineitem(spark, d), MEASURES).withColumn("corr", F.round("corr", 6))
 
 
-@query("SELECT * FROM (VALUES ('l_extendedprice', true), ('l_tax', true), ('price_copy', false), ('l_quantity', true)) AS v(feature, kept)")
+@query(f"""
+WITH r AS (SELECT l_extendedprice AS e, l_extendedprice * 2 + 1 AS p, l_quantity AS q, l_tax AS t FROM lineitem),
+c AS (SELECT abs(corr(e, p)) > {select.COLLINEAR} AS ep, abs(corr(e, q)) > {select.COLLINEAR} AS eq, abs(corr(p, q)) > {select.COLLINEAR} AS pq, abs(corr(e, t)) > {select.COLLINEAR} AS et, abs(corr(p, t)) > {select.COLLINEAR} AS pt, abs(corr(q, t)) > {select.COLLINEAR} AS qt FROM r),
+k AS (SELECT *, NOT ep AS kp, NOT (eq OR (NOT ep AND pq)) AS kq FROM c)
+SELECT 'l_extendedprice' AS feature, true AS kept UNION ALL SELECT 'price_copy', kp FROM k UNION ALL SELECT 'l_quantity', kq FROM k UNION ALL SELECT 'l_tax', NOT (et OR (kp AND pt) OR (kq AND qt)) FROM k""")
 def collinearity_prune(spark, d):
     rows = t(spark, d, "lineitem").withColumn("price_copy", F.col("l_extendedprice") * 2 + 1)
     kept, dropped = select.prune_collinear(rows, {"l_extendedprice": 0.9, "price_copy": 0.8, "l_quantity": 0.7, "l_tax": 0.6})
@@ -584,10 +597,13 @@ def stability_check(spark, d):
     return select.stability(rows, ["o_totalprice"], "y", split.period_of(F.col("o_orderdate")))
 
 
-@query("SELECT DISTINCT unnest(['l_quantity', 'y']) AS feature")
+RETURNED = "(SELECT l_quantity, l_extendedprice, l_discount, l_tax, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y FROM lineitem)"
+
+
+@query("SELECT 'y' AS feature UNION ALL SELECT feature FROM (SELECT * FROM (" + union([f"SELECT '{c}' AS feature, abs(round(corr({c}, y), 4)) AS c FROM {RETURNED}" for c in MEASURES]) + ") WHERE c > 0 ORDER BY c DESC, feature LIMIT 2)")
 def select_top_features(spark, d):
-    rows = signal(spark, d).withColumn("noise", F.lit(1.0)).select(F.col("s").alias("l_quantity"), "noise", "y")
-    return spark.createDataFrame([(c,) for c in select.select_top(rows, "y", 1)], "feature string")
+    rows = t(spark, d, "lineitem").select(*MEASURES, F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("y"))
+    return spark.createDataFrame([(c,) for c in select.select_top(rows, "y", 2, "correlation")], "feature string")
 
 
 # ---- nulls and encoding
@@ -634,7 +650,11 @@ def scale_guard(spark, d):
     return nulls.scale_guard(train, hold, ["l_extendedprice", "l_quantity", "l_tax"])
 
 
-@query("SELECT 'a' AS indicator")
+GAPPED = "(SELECT CASE WHEN l_orderkey % 3 <> 0 THEN l_quantity END AS a, CASE WHEN l_orderkey % 3 <> 0 THEN l_quantity * 2 END AS a_twin, l_tax AS \"full\", NULL::DOUBLE AS empty FROM lineitem)"
+GAPS = ("a", "a_twin", '"full"', "empty")
+
+
+@query("SELECT indicator FROM (" + union([f"""SELECT '{c.strip(chr(34))}' AS indicator, count({c}) BETWEEN 1 AND count(*) - 1{"".join(f" AND count(*) FILTER (({c} IS NULL) <> ({b} IS NULL)) > 0" for b in GAPS[:k])} AS ok FROM {GAPPED}""" for k, c in enumerate(GAPS)]) + ") WHERE ok")
 def null_indicators(spark, d):
     r = t(spark, d, "lineitem")
     gap = F.when(F.col("l_orderkey") % 3 != 0, F.col("l_quantity"))
@@ -755,7 +775,10 @@ def smoothed_curve(spark, d):
     return metrics.smoothed(split.period_counts(t(spark, d, "orders"), "o_orderdate"), "period", "n").withColumn("smooth", F.round("smooth", 6))
 
 
-@query("SELECT * FROM (VALUES ('o_orderdate', 'missing', 'warning'), ('o_totalprice', 'type_mismatch', 'error'), ('more', 'extra', 'warning')) AS v(\"column\", issue, severity)")
+@query("""
+WITH a AS (SELECT column_name AS c, column_type AS k FROM (DESCRIBE orders)), b AS (SELECT column_name AS c, column_type AS k FROM (DESCRIBE SELECT * EXCLUDE (o_orderdate) REPLACE (o_totalprice::VARCHAR AS o_totalprice), 1 AS more FROM orders))
+SELECT coalesce(a.c, b.c) AS "column", CASE WHEN b.c IS NULL THEN 'missing' WHEN a.c IS NULL THEN 'extra' ELSE 'type_mismatch' END AS issue, CASE WHEN a.c = 'o_totalprice' THEN 'error' ELSE 'warning' END AS severity
+FROM a FULL JOIN b ON a.c = b.c WHERE a.c IS NULL OR b.c IS NULL OR a.k <> b.k""")
 def schema_compare(spark, d):
     o = t(spark, d, "orders")
     return drift.compare_schemas(o, o.drop("o_orderdate").withColumn("o_totalprice", F.col("o_totalprice").cast("string")).withColumn("more", F.lit(1)), ["o_totalprice"])

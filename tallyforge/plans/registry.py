@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import expr
 from tallyforge.operators import clean, drift, encode, nulls, split, train
-from tallyforge.plans import queries, spec
+from tallyforge.plans import more_queries, queries, spec
 
 
 
@@ -41,8 +41,8 @@ def train_and_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scorer.score(rows, ["doc_id", "bad"])
 
 
-QUERIES = {**queries.QUERIES, "replay_spec": replay_spec, "train_and_score": train_and_score}
-SQL = {**queries.SQL, "replay_spec": REPLAY_SQL}
+QUERIES = {**more_queries.QUERIES, "replay_spec": replay_spec, "train_and_score": train_and_score}
+SQL = {**more_queries.SQL, "replay_spec": REPLAY_SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,3 +17,15 @@ def build_session(app: str = "tallyforge", master: str | None = None, **conf: st
     for k, v in (base | {k.replace("__", "."): v for k, v in conf.items()}).items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def scratch(spark: SparkSession) -> str:
+    """A folder that all executors share: spark.checkpoint.dir; where it is unset, a local one in local mode, else the warehouse's."""
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if place:
+        return f"{place.rstrip('/')}/tallyforge"
+    if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
+        import tempfile
+
+        return "file://" + tempfile.mkdtemp(prefix="tallyforge-")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/tallyforge-scratch"

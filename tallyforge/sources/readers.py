@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bz2
+import codecs
 import csv
 import gzip
 import io
@@ -48,33 +49,38 @@ def unpack(path: str, codec: str) -> str:
 
 
 def encoding_of(path: str, codec: str | None = None, size: int = 1 << 20) -> str:
-    """The first encoding that decodes the start of a local file; UTF-8 for what only Spark can read."""
+    """The first encoding that decodes all of a local file, read in pieces; UTF-8 for what only Spark can read."""
     if is_remote(path):
         return "utf-8"
     p = Path(path.removeprefix("file://"))
     p = next((x for x in sorted(p.iterdir()) if x.is_file() and x.name[0] not in "._"), p) if p.is_dir() else p
+    opened = lambda: {"gzip": gzip.open, "bz2": bz2.open}.get(codec, open)(p, "rb")
+
+    def decodes(encoding: str) -> bool:
+        decoder = codecs.getincrementaldecoder(encoding)()
+        with opened() as f:
+            try:
+                while piece := f.read(size):
+                    decoder.decode(piece)
+                decoder.decode(b"", True)
+            except UnicodeDecodeError:
+                return False
+        return True
+
     try:
-        with {"gzip": gzip.open, "bz2": bz2.open}.get(codec, open)(p, "rb") as f:
-            head = f.read(size)
+        with opened() as f:
+            if f.read(3) == b"\xef\xbb\xbf":
+                return "utf-8-sig"
+        return next((e for e in ENCODINGS if decodes(e)), "latin-1")
     except OSError:
         return "utf-8"
-    cut = head[: head.rfind(b"\n") + 1] or head
-    if cut.startswith(b"\xef\xbb\xbf"):
-        return "utf-8-sig"
-    for e in ENCODINGS:
-        try:
-            cut.decode(e)
-        except UnicodeDecodeError:
-            continue
-        return e
-    return "latin-1"
-
-
-def read_csv(spark: SparkSession, path: str, sep: str = ",", codec: str | None = None) -> DataFrame:
+
+
+def read_csv(spark: SparkSession, path: str, sep: str = ",", codec: str | None = None, multi_line: bool = True) -> DataFrame:
     name = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp1252": "windows-1252", "latin-1": "ISO-8859-1"}[encoding_of(path, codec)]
     if name == "windows-1252":
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # Spark's own list lacks it
-    return spark.read.csv(path, header=True, inferSchema=True, sep=sep, encoding=name, quote='"', escape='"', multiLine=codec is None)
+    return spark.read.csv(path, header=True, inferSchema=True, sep=sep, encoding=name, quote='"', escape='"', multiLine=multi_line and codec is None)
 
 
 def read_feather(spark: SparkSession, path: str) -> DataFrame:
@@ -106,8 +112,18 @@ def configure_s3(spark: SparkSession, key: str | None = None, secret: str | None
             conf.set(name, value)
 
 
-def load(spark: SparkSession, path: str, normalised: bool = True) -> DataFrame:
-    """Read a table by its suffix; folders and paths without a known suffix are Parquet if they look so, else CSV."""
+def is_json_lines(spark: SparkSession, path: str) -> bool:
+    """Whether the first line that is not blank is a whole record, so that the file can be split by lines."""
+    first = spark.read.text(path).where("trim(value) <> ''").first()
+    line = first[0].strip() if first else ""
+    return line.startswith("{") and line.endswith("}")
+
+
+def load(spark: SparkSession, path: str, normalised: bool = True, multi_line: bool = True) -> DataFrame:
+    """Read a table by its suffix; folders and paths without a known suffix are Parquet if they look so, else CSV.
+
+    ``multi_line``: whether CSV values may hold line breaks. Turn it off for large files, which are then split over tasks.
+    """
     for scheme in ("s3://", "s3n://"):
         path = path.replace(scheme, "s3a://", 1) if path.startswith(scheme) else path
     kind, codec = suffixes(path)
@@ -122,11 +138,11 @@ def load(spark: SparkSession, path: str, normalised: bool = True) -> DataFrame:
     elif kind in (".xlsx", ".xls"):
         df = read_excel(spark, path)
     elif kind == ".json":
-        df = spark.read.option("multiLine", True).json(path)
+        df = spark.read.option("multiLine", not is_json_lines(spark, path)).json(path)
     elif kind in (".jsonl", ".ndjson"):
         df = spark.read.json(path)
     else:
-        df = read_csv(spark, path, "\t" if kind in (".tsv", ".tab") else ",", codec)
+        df = read_csv(spark, path, "\t" if kind in (".tsv", ".tab") else ",", codec, multi_line)
     return normalise(df) if normalised else df
 
 

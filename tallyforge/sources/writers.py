@@ -8,13 +8,16 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame
 
+from tallyforge.sources.readers import suffixes
+
 
 def write(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Parquet (snappy) unless the suffix says CSV, JSON or ORC."""
+    """Parquet (snappy) unless the suffix says CSV, TSV, JSON (a record a line) or ORC; .gz and .bz2 compress text."""
+    kind, codec = suffixes(path)
     out = df.write.mode(mode)
-    kind = Path(path).suffix.lower()
-    if kind == ".csv":
-        out.option("header", True).csv(path)
+    out = out.option("compression", {"bz2": "bzip2"}.get(codec, codec)) if codec else out
+    if kind in (".csv", ".tsv", ".tab"):
+        out.option("header", True).option("sep", "," if kind == ".csv" else "\t").option("escape", '"').csv(path)
     elif kind in (".json", ".jsonl"):
         out.json(path)
     elif kind == ".orc":

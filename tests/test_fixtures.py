@@ -1,7 +1,9 @@
 """Golden values: null policy, scale guard, encoders, replay order, expressions, PSI edges, splits, metrics."""
 
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from tallyforge import roles
 from tallyforge.functions import expr, scalars
 from tallyforge.operators import binning, clean, drift, encode, keys, metrics, nulls, ordered, profile, select, split, train
 from tallyforge.plans import spec
+from tallyforge.sources import readers
 
 
 def col(df, name):
@@ -215,3 +218,48 @@ def test_pruning_loops():
     assert set(kept) <= set(worth) and len(log) > 3
     assert select.eliminate(list(worth), fit, 3) == ["f0", "f1", "f2"]
     assert len(select.one_by_one(list(worth), fit, floor=10)) >= 10
+
+
+def test_roles():
+    got = roles.resolve(["sk_id_curr", "year_built", "amt_credit", "fraud"])
+    assert (got.target, got.entity, got.date) == ("fraud", "sk_id_curr", None)
+    assert roles.find_target(["x", "TARGET"], "target") == "TARGET" and roles.find_target(["x", "churn", "y"], "nope") == "y" and roles.find_target(["x"], "nope") is None
+    assert [roles.is_entity_name(c) for c in ("customer_id", "sk_id_curr", "id_number", "id_card", "rapid", "hidden_x", "id")] == [True, True, False, False, False, False, True]
+    assert [roles.is_date_name(c) for c in ("as_of", "REPORT_DATE", "app_dt", "amt_dti", "days_birth", "months_balance", "month", "year_built")] == [True, True, True, False, False, False, True, False]
+    assert roles.find_entity(["a_id", "MA_KH", "user_id"]) == "MA_KH" and roles.find_entity(["x", "loan_id"], "x") == "x" and roles.find_entity(["x"]) is None
+    both = roles.resolve(["cif", "so_dt", "device_id", "cccd", "label", "snap_dt"])
+    assert (both.entity, both.identities, both.date) == ("cif", ("so_dt", "device_id", "cccd"), "snap_dt")
+    assert roles.leaks_by_name(["next_month", "amount", "is_ahead", "future_x"]) == ["next_month", "is_ahead", "future_x"]
+
+
+def test_the_whole_file_decides_the_encoding(tmp_path):
+    (tmp_path / "a.csv").write_bytes(b"x,y\n" + b"1,2\n" * 400_000 + "é,3\n".encode("cp1252"))
+    (tmp_path / "b.csv").write_bytes(b"x,y\n" + b"1,2\n" * 300_000 + "é,3\n".encode())
+    assert [readers.encoding_of(str(tmp_path / f"{k}.csv"), size=1000) for k in "ab"] == ["cp1252", "utf-8"]
+
+
+def test_correlations_equal_pairwise_aggregates(spark):
+    r = random.Random(3)
+    rows = [tuple(None if r.random() < 0.2 else r.gauss(0, 1) + 5 * k for k in range(3)) + (7.0, None) for _ in range(300)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, flat double, none double").repartition(5)
+    for fill in ("mean", "pairwise"):
+        got = {(x.a, x.b): x["corr"] for x in select.correlations(df, df.columns, fill).collect()}
+        assert len(got) == 10 and all(v == 0 for k, v in got.items() if set(k) & {"flat", "none"})
+        for a, b in (("a", "b"), ("a", "c"), ("b", "c")):
+            x, y = np.array([[v if v is not None else np.nan for v in (row["abc".index(a)], row["abc".index(b)])] for row in rows]).T
+            if fill == "mean":
+                x, y = np.where(np.isnan(x), np.nanmean(x), x), np.where(np.isnan(y), np.nanmean(y), y)
+            ok = ~np.isnan(x) & ~np.isnan(y)
+            assert got[a, b] == pytest.approx(np.corrcoef(x[ok], y[ok])[0, 1], abs=1e-8)
+    assert select.correlations(df.select("a"), ["a"]).count() == 0
+
+
+def test_ranks_in_groups_and_levels(spark):
+    df = spark.range(500).select("id", (F.col("id") % 3).cast("string").alias("g"), F.md5(F.col("id").cast("string")).alias("h"))
+    got = ordered.grouped_row_numbers(df, ["g"], ["h"], F.substring("h", 1, 1), "n").collect()
+    for g in "012":
+        own = sorted((x for x in got if x.g == g), key=lambda x: x.h)
+        assert [x.n for x in own] == list(range(1, len(own) + 1))
+    with pytest.raises(ValueError, match="h .about"):
+        encode.levels_of(df, ["g", "h"], most=100)
+    assert profile.distinct_counts(spark.createDataFrame([(0.0, "a"), (-0.0, None), (None, "b")], "x double, y string"), ["x", "y"]) == {"x": 1, "y": 2}
