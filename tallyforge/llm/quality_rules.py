@@ -144,7 +144,7 @@ def repeat_words(words: Column) -> Column:
         windows = F.transform(at, lambda i: F.xxhash64(*[F.get(hashes, i + j) for j in range(5)]))
         return let(windows, lambda w: F.when(F.size(F.array_distinct(w)) < F.size(w), covered(w)).otherwise(zero))
 
-    return F.when(F.size(words) < 6, zero).otherwise(let(F.transform(words, lambda w: F.xxhash64(w)), judged))
+    return let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.when(F.size(h) < 6, zero).otherwise(judged(h)))
 
 
 def apply_quality_rules(df: DataFrame, text: str = "text", max_lost: float = 0.3) -> DataFrame:
@@ -153,7 +153,9 @@ def apply_quality_rules(df: DataFrame, text: str = "text", max_lost: float = 0.3
     body = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(WHITE_CLASS.replace("[", "[^")))
     df = df.withColumn("__words", words_of(F.col(text))).withColumn("__lines", lines)
-    df = df.withColumn("__phrases", has_phrase(body)).withColumn("__good", F.filter(without_openings(F.col("__lines")), lambda x: ~line_fails(x, F.col("__phrases"))))
+    # bound values, so that no rewriting of the plan moves a document's work into the loop over its lines
+    good = lambda ls: let(has_phrase(body), lambda phrases: F.filter(without_openings(ls), lambda x: ~line_fails(x, phrases)))
+    df = df.withColumn("__good", let(F.col("__lines"), good))
     size = lambda c: F.length(F.array_join(c, ""))
     df = df.withColumns({
         "n_words": F.size("__words").cast("long"),
@@ -166,4 +168,4 @@ def apply_quality_rules(df: DataFrame, text: str = "text", max_lost: float = 0.3
     })
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     df = df.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("lost_share") <= max_lost))
-    return df.drop("__words", "__lines", "__good", "__phrases")
+    return df.drop("__words", "__lines", "__good")
