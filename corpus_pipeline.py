@@ -39,8 +39,12 @@ def unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go; the others stay as they are."""
-    return unpacked(apply_quality_rules(packed(docs)).where("kept"), docs)
+    """Documents that the quality rules reject go; the others stay as they are.
+
+    The row mark keeps the optimizer from moving the filter below the rules, where it would compute them several times.
+    """
+    judged = apply_quality_rules(packed(docs)).withColumn("__mark", F.monotonically_increasing_id())
+    return unpacked(judged.where("kept"), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
