@@ -14,7 +14,7 @@
    runs meet by their bytes over several salts first, and what is left meets window by window on 128-bit hashes with a
    partial aggregation.
 
-A task gets the hashes of about ``TASK_BYTES`` of text. Where that would take more than ``MOST_TASKS`` tasks (over 3 TB), rows
+A task gets the hashes of about ``TASK_BYTES`` of text. Where that would take more than ``MOST_TASKS`` tasks (over 400 GB), rows
 are sorted within a task, which then holds a few whole hashes at a time.
 
 Ids are integers. Null texts are empty, rows with a null id keep everything, and rows that repeat an id and a text are
@@ -41,8 +41,8 @@ WIDTH, GRAM, SYMBOL = 100, 32, 8
 HOT_ROWS, SALTS, SAMPLE = 40_000, 8, 0.02
 PIECE = 1 << 19
 BATCH_SYMBOLS, SHARD_SYMBOLS = 120_000, 30_000
-SETTLE_ROWS, COMPARE_ROWS = 1_000_000, 200_000
-TASK_BYTES, MOST_TASKS = 64 << 20, 50_000
+SETTLE_ROWS, COMPARE_ROWS = 300_000, 50_000
+TASK_BYTES, MOST_TASKS = 8 << 20, 50_000
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15

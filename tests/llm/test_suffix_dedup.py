@@ -95,7 +95,7 @@ def test_whole_groups_and_tasks():
     parts = [rows.slice(0, 1), rows.slice(1, 3), rows.slice(4, 0), rows.slice(4, 4)]
     assert [t.column("key").to_pylist() for t in sd.whole_groups(iter(parts), "key", 2, True)] == [[1, 1, 2, 2, 2], [3, 4, 4]]
     assert [t.num_rows for t in sd.whole_groups(iter(parts), "key", 2, False)] == [8]
-    assert sd.tasks_for(0, 8) == (8, False) and sd.tasks_for(1 << 40, 8) == (1 << 14, False) and sd.tasks_for(1 << 50, 8) == (50_000, True)
+    assert sd.tasks_for(0, 8) == (8, False) and sd.tasks_for(1 << 37, 8) == (1 << 14, False) and sd.tasks_for(1 << 50, 8) == (50_000, True)
 
 
 def test_shards_merge_to_one_order():
