@@ -33,7 +33,7 @@ from .components import connected_components
 from .shingles import U, mix, shingle_sets
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.999
-BLOCK, SALTS = 512, 16
+BLOCK, SALTS = 512, 4
 
 
 def choose_bands(threshold: float, recall: float, most: int = 12) -> tuple[int, int]:
