@@ -9,8 +9,9 @@ fingerprints, and only the texts that met one are read again. Benchmark items of
 smallest word hash. One pass over the texts winnows for all lengths that occur (12 short ones at most).
 
 Nulls and texts without words have no windows: counts of 0, not contaminated. Repeated benchmark items all count; repeated
-text rows need distinct ids to be told apart. Texts of any length are read whole. An empty benchmark or an
-empty text table gives clean or no rows. Columns named like an output are replaced; others pass through.
+text rows need distinct ids to be told apart. Texts of any length are read whole: over ``LONG`` bytes in pieces of
+``PIECE`` words, each with the words of the next that its last windows reach into, as the arrays of a run's words take
+about a kilobyte a word. An empty benchmark or an empty text table gives clean or no rows. Columns named like an output are replaced; others pass through.
 """
 
 from __future__ import annotations
@@ -22,6 +23,10 @@ from .common import ascii_lower, let, stored
 
 WINDOW, GRAM = 13, 5
 BROADCAST_ROWS = 500_000
+#: Bytes of text that are winnowed at once, and the words of a piece of a longer one.
+LONG, PIECE = 65_536, 4096
+#: The characters of words in a text of any case, and those between them.
+IN, OUT = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 OUTPUTS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "item_ids", "spans")
 
 
@@ -31,6 +36,29 @@ def item_words(text: Column) -> Column:
     return F.filter(cut, lambda w: w != "")
 
 
+def words_up_to(n: int) -> str:
+    """A pattern for ``n`` words, or as many as follow: from a word to a word, possessive, so that no stack grows."""
+    return f"{IN}++(?:{OUT}++{IN}++){{0,{n - 1}}}+"
+
+
+def pieces_of(text: Column) -> Column:
+    """The text in an array, or the pieces of ``PIECE`` words (the last may have fewer) of a long one."""
+    text = F.coalesce(text, F.lit(""))
+    return F.when(F.octet_length(text) <= LONG, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(words_up_to(PIECE)), F.lit(0)))
+
+
+def count_words(text: Column) -> Column:
+    last = lambda p: F.coalesce(F.size(item_words(F.get(p, F.size(p) - 1))), F.lit(0))
+    return let(pieces_of(text), lambda p: F.greatest(F.size(p) - 1, F.lit(0)).cast("long") * PIECE + last(p))
+
+
+def in_pieces(docs: DataFrame) -> DataFrame:
+    """Rows (__id, k, __t) of the pieces of texts, each with the ``WINDOW`` - 1 words that follow; word i of piece k is word k * ``PIECE`` + i of the text."""
+    each = docs.select("__id", F.posexplode(let(pieces_of(F.col("__t")), lambda p: F.transform(p, lambda x, k: F.struct(x.alias("own"), F.get(p, k + 1).alias("next"))))).alias("k", "x"))
+    head = F.regexp_extract(F.coalesce("x.next", F.lit("")), "^" + words_up_to(WINDOW - 1), 0)
+    return each.select("__id", "k", F.when(F.col("x.next").isNull(), F.col("x.own")).otherwise(F.concat_ws(" ", "x.own", head)).alias("__t"))
+
+
 def fingerprints(words: Column, size: int, gram: int) -> Column:
     """The fingerprint of each window of ``size`` words, by its start: the smallest hash of its grams of ``gram`` words."""
     none = F.array().cast("array<bigint>")
@@ -92,20 +120,25 @@ def run_words(words: Column, x: Column) -> Column:
 
 def hits_by_broadcast(docs: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFrame:
     """Window starts that equal an item's window: (__id, i, n, items), from one pass over the texts. Fingerprints are broadcast."""
-    rows = docs.select("__id", item_words(F.col("__t")).alias("w"))
+    rows = in_pieces(docs).select("__id", "k", item_words(F.col("__t")).alias("w"))
     cut = lambda w: F.transform(prints_of(w, sizes), lambda x: F.struct(x["size"].alias("size"), x["fp"].alias("fp"), x["i"].alias("i"), run_words(w, x).alias("w")))
-    rows = rows.select("__id", F.explode(let(F.col("w"), cut)).alias("x")).select("__id", "x.*")
+    rows = rows.select("__id", "k", F.explode(let(F.col("w"), cut)).alias("x")).select("__id", "k", "x.*")
     met = rows.join(F.broadcast(windows.select("size", "fp").distinct()), ["size", "fp"], "left_semi")
-    return equal_windows(met, windows)
+    return equal_windows(met.withColumn("i", F.col("i") + F.col("k") * PIECE), windows)
 
 
 def hits_by_shuffle(docs: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFrame:
-    """As ``hits_by_broadcast``, for fingerprints of any number: ids, places and fingerprints are shuffled, and only texts that met one are tokenised again."""
-    at = docs.select("__id", F.explode(let(item_words(F.col("__t")), lambda w: prints_of(w, sizes))).alias("x")).select("__id", "x.*")
-    met = at.join(windows.select("size", "fp").distinct(), ["size", "fp"], "left_semi").groupBy("__id").agg(F.collect_list(F.struct("size", "i")).alias("at"))
-    near = docs.join(met, "__id").select("__id", "at", item_words(F.col("__t")).alias("w"))
-    runs = near.select("__id", F.explode(F.transform("at", lambda x: F.struct(x["size"].alias("size"), x["i"].alias("i"), run_words(F.col("w"), x).alias("w")))).alias("x"))
-    return equal_windows(runs.select("__id", "x.*"), windows)
+    """As ``hits_by_broadcast``, for fingerprints of any number: ids, places and fingerprints are shuffled, and only pieces that met one are tokenised again.
+
+    Rows that share an id share their places: a place past the end of a shorter text has no window there.
+    """
+    pieces = in_pieces(docs)
+    at = pieces.select("__id", "k", F.explode(let(item_words(F.col("__t")), lambda w: prints_of(w, sizes))).alias("x")).select("__id", "k", "x.*")
+    met = at.join(windows.select("size", "fp").distinct(), ["size", "fp"], "left_semi").groupBy("__id", "k").agg(F.collect_list(F.struct("size", "i")).alias("at"))
+    near = pieces.join(met, ["__id", "k"]).select("__id", "k", "at", item_words(F.col("__t")).alias("w"))
+    cut = lambda w: F.transform("at", lambda x: F.struct(x["size"].alias("size"), (x["i"] + F.col("k") * PIECE).alias("i"), run_words(w, x).alias("w")))
+    runs = near.select("__id", F.explode(let(F.col("w"), cut)).alias("x")).select("__id", "x.*")
+    return equal_windows(runs.where(F.size("w") >= F.col("size")), windows)
 
 
 def equal_windows(runs: DataFrame, windows: DataFrame) -> DataFrame:
@@ -140,7 +173,7 @@ def apply_decontamination(df: DataFrame, benchmark: DataFrame, doc_id: str = "do
     """Add n_words, n_hit, n_items, item_ids, spans and contaminated (hit words are 1 in ``one_in`` at least) to every row."""
     df = df.drop(*OUTPUTS)
     hits = find_hits(df, benchmark, doc_id, text, item_id, item_text, broadcast_rows)
-    df = df.withColumn("n_words", F.size(item_words(F.col(text))).cast("long"))
+    df = df.withColumn("n_words", count_words(F.col(text)))
     out = df.join(hits.withColumnRenamed("__id", doc_id), doc_id, "left")
     out = out.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "item_ids": F.coalesce("item_ids", F.array().cast("array<string>")), "spans": F.coalesce("spans", F.array().cast("array<struct<start:int,length:int>>"))})
     return out.withColumns({
