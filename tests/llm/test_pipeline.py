@@ -6,6 +6,7 @@ import tiktoken
 
 import corpus_pipeline as cp
 from tallyforge.llm import bpe
+from tallyforge.llm.common import GROUP_BYTES, stored
 
 from .test_native import base_by_hand, leaks_by_hand
 from .test_ngram_join import brute as links_by_hand
@@ -72,3 +73,31 @@ def test_odd_columns_repeated_and_null_ids(spark, tmp_path):
         assert rows.columns == df.columns
     assert sorted(map(tuple, rows.collect()), key=str) == sorted([(1, a, "x", 7), (1, a, "y", 8), (2, b, None, None), (None, c, "z", 9)], key=str)
     assert cp.run(spark, str(tmp_path)).columns == ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"]
+
+
+def test_the_winnowing_scans_the_changed_texts_alone(spark, tmp_path, monkeypatch):
+    docs, items = corpus()
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    seen, winnow = [], cp.apply_decontamination
+    monkeypatch.setattr(cp, "apply_decontamination", lambda df, *a, **b: seen.append(df) or winnow(df, *a, **b))
+    now = table.where("doc_id <> 1").selectExpr("doc_id", "if(doc_id % 2 = 0, text, substring(text, 5)) as text")
+    out = cp.benchmark_leaks(spark, now, str(tmp_path))
+    assert not {60, 61, 62, 63, 100, 101, 102} & {x.doc_id for x in out.collect()}
+    assert not [x for x in seen[0].inputFiles() if "documents.parquet" in x]
+    then, after = ({x[0][0]: x[1] for x in seen[0].where(f"key.old = {old}").collect()} for old in ("true", "false"))
+    assert then == {i: t for i, t in docs if t and i % 2 and i != 1}
+    assert after.keys() == {i for i, _ in docs} - {1}
+
+
+def test_small_row_groups_between_stages(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    text = "array_join(transform(sequence(1, 10), k -> sha2(concat(id, '-', k), 512)), '')"
+    rows = spark.range(0, 60_000, 1, 1).selectExpr("id as doc_id", f"{text} as text")  # 77 MB that do not compress, in one task
+    back = stored(rows, "groups")
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in back.inputFiles()]
+    sizes = [m.row_group(g).total_byte_size for m in files for g in range(m.num_row_groups)]
+    assert max(sizes) < 1.5 * GROUP_BYTES < sum(sizes) / 2
+    assert back.count() == 60_000
